@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, licenses, packing, sentencepiece_codec, token_blocks
+from . import ann, chat, embed_dedup, licenses, minhash, packing, quality, sentencepiece_codec, token_blocks, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.write_token_blocks(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -28,15 +32,36 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.similar_pairs(table(spark, sf_dir, "embeddings")).select("a", "b")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.fold_chats(chat.turns_as_events(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_blocks, op4_packing, op5_licenses, op10_chat)}
+    ops = (op1_sentencepiece, op2_token_blocks, op3_nearest_neighbours, op4_packing, op5_licenses, op6_toxicity, op7_embedding_pairs, op8_quality, op9_near_duplicates, op10_chat)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 ORACLE = {
+    "op7_embedding_pairs": """
+        SELECT x.vec_id AS a, y.vec_id AS b
+        FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
+        WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.95""",
     "op10_chat": """
         SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
                CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER) AS n_user,
