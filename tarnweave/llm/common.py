@@ -153,3 +153,18 @@ def sample_labels(labels: DataFrame, label: str, most: int, id_col: str = "doc_i
     """At most `most` labelled ids, spread by a hash of the id; of contradicting labels of an id the largest holds; nulls go."""
     one = pick(labels, id=id_col, y=label).dropna().groupBy("id").agg(F.max("y").cast("int").alias("y"))
     return one.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+#: Up to so many ids (16 MB of longs) a list of ids goes to all executors; a longer one is joined by shuffling.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join with a settled table of one column of distinct ids; rows with a null id match nothing.
+
+    The size of the list is checked first: while it is small the texts of `df` aren't shuffled.
+    """
+    right = ids.select(ids[0].alias("_by_id"))
+    if right.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        right = F.broadcast(right)
+    return df.join(right, df[f"`{id_col}`"] == right["_by_id"], how)
