@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, settle, unsettle
 
-GRAPH_K, BLOCK, LEAF, TREES, ITERATIONS = 32, 8192, 512, 4, 6
-NEAREST, BEAM, EXPAND, ROUNDS = 10, 48, 8, 8
+GRAPH_K, BLOCK, LEAF, TREES, ITERATIONS = 40, 4096, 2048, 6, 4
+NEAREST, BEAM, EXPAND, ROUNDS = 10, 96, 16, 6
 EDGES = "u long, b long, s float"
 
 
@@ -156,7 +156,7 @@ def _collect_garbage(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int = LEAF, trees: int = TREES, iterations: int = ITERATIONS, settle_at: float = 0.02) -> DataFrame:
+def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int = LEAF, trees: int = TREES, iterations: int = ITERATIONS, settle_at: float = 0.06) -> DataFrame:
     """(u, nb) for settled codes (id, v). Rounds end when fewer than `settle_at` of the edges are new."""
     head = vecs.select("v").first()
     if head is None:
@@ -182,42 +182,75 @@ def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int
     return graph
 
 
-def _advance(beam: int):
-    """One step of each query of a block: similarities of new candidates, merged into its beam."""
+def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column without nulls."""
+    col = col.combine_chunks()
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    offs = np.asarray(col.offsets).astype(np.int64)
+    return np.asarray(col.flatten()), offs - offs[0]
+
+
+def _advance(beam: int, expand: int):
+    """One step of each query of a block. Right rows are nodes: with `out`, the links of one that is expanded; with `v`, the vector of a candidate."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = np.asarray(right["c"].combine_chunks())
-        order = np.argsort(names)
-        names, x = names[order], _matrix(right["v"])[order]
+        linked = right.filter(right["out"].is_valid())
+        nodes = np.asarray(linked["c"].combine_chunks())
+        order = np.argsort(nodes)
+        nodes = nodes[order]
+        out, at = _lists(linked["out"])
+        coded = right.filter(right["v"].is_valid())
+        names = np.asarray(coded["c"].combine_chunks())
+        by = np.argsort(names)
+        names, x = names[by], _matrix(coded["v"])[by]
         q = _matrix(left["qv"])
-        ids, sims, done, moved = [], [], [], []
-        for row, (cand, b_ids, b_s, b_done) in enumerate(zip(*[left[c].to_pylist() for c in ("cand", "ids", "sims", "done")])):
-            known = np.array(b_ids, np.int64)
-            new = np.setdiff1d(np.array(cand or [], np.int64), known)
-            at = np.searchsorted(names, new)
-            at_ok = np.minimum(at, max(0, len(names) - 1))
-            new, at = (new[names[at_ok] == new], at_ok[names[at_ok] == new]) if len(names) else (new[:0], at[:0])
-            s = np.concatenate([np.array(b_s, np.float32), x[at] @ q[row]])
-            i = np.concatenate([known, new])
-            d = np.concatenate([np.array(b_done, bool), np.zeros(len(new), bool)])
-            top = np.lexsort((i, -s))[:beam]
-            ids.append(i[top])
-            sims.append(s[top])
-            done.append(d[top])
-            moved.append(not d[top].all())
-        return pa.table(
-            {
-                "q": left["q"],
-                "qv": left["qv"],
-                "ids": pa.array(ids, pa.list_(pa.int64())),
-                "sims": pa.array(sims, pa.list_(pa.float32())),
-                "done": pa.array(done, pa.list_(pa.bool_())),
-            }
-        )
+        (ids, io), (sims, _), (done, _), (cand, co) = (_lists(left[c]) for c in ("ids", "sims", "done", "cand"))
+        done = done.astype(bool)
+        new_ids, new_sims, new_done, sizes = [], [], [], []
+        for r in range(left.num_rows):
+            own, s, d = ids[io[r] : io[r + 1]], sims[io[r] : io[r + 1]], done[io[r] : io[r + 1]].copy()
+            opened = np.flatnonzero(~d)[:expand]
+            parts = [cand[co[r] : co[r + 1]]]
+            if len(opened):
+                d[opened] = True
+                k = np.searchsorted(nodes, own[opened])
+                k = k[k < len(nodes)]
+                parts += [out[at[o] : at[o + 1]] for o in order[k[np.isin(nodes[k], own[opened])]]]
+            new = np.unique(np.concatenate(parts))
+            new = new[~np.isin(new, own)]
+            k = np.minimum(np.searchsorted(names, new), max(0, len(names) - 1))
+            if len(names):
+                good = names[k] == new
+                new, k = new[good], k[good]
+            else:
+                new = k = new[:0]
+            s, own, d = np.concatenate([s, x[k] @ q[r] if len(k) else s[:0]]), np.concatenate([own, new]), np.concatenate([d, np.zeros(len(new), bool)])
+            top = np.lexsort((own, -s))[:beam]
+            new_ids.append(own[top])
+            new_sims.append(s[top])
+            new_done.append(d[top])
+            sizes.append(len(top))
+        offs = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        flat = [np.concatenate(z) if z else np.zeros(0) for z in (new_ids, new_sims, new_done)]
+        cols = [pa.ListArray.from_arrays(offs, pa.array(f.astype(t), k)) for f, t, k in zip(flat, (np.int64, np.float32, bool), (pa.int64(), pa.float32(), pa.bool_()))]
+        return pa.table({"q": left["q"], "qv": left["qv"], "ids": cols[0], "sims": cols[1], "done": cols[2]})
 
     return run
 
 
+def _distinct_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(blk, c): distinct link ends per block of each batch; few rows are left for the exact distinct."""
+    for batch in batches:
+        if batch.num_rows:
+            blk = np.asarray(batch.column(0))
+            ends, offs = _lists(pa.chunked_array([batch.column(1)]))
+            own = np.repeat(blk, np.diff(offs))
+            for b in np.unique(blk):
+                c = np.unique(ends[own == b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), b, np.int32)), pa.array(c)], ["blk", "c"])
+
+
 STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<boolean>"
 
 
@@ -236,20 +269,23 @@ def search(vecs: DataFrame, graph: DataFrame, queries: DataFrame, starts: DataFr
     back = graph.select("u", F.explode("nb").alias("e")).groupBy(F.col("e.b").alias("node")).agg(F.slice(F.sort_array(F.collect_list(F.struct("e.s", "u")), asc=False), 1, GRAPH_K).alias("r"))
     links = settle(links.join(back, "node", "full").select("node", F.array_distinct(F.concat(F.coalesce("out", F.array().cast("array<long>")), F.coalesce(F.transform("r", lambda e: e["u"]), F.array().cast("array<long>")))).alias("out")))
     for step in range(rounds + 1):
-        left = state.join(cand, "q", "left").select(blk, "q", "qv", "cand", "ids", "sims", "done")
-        need = cand.select(blk, F.explode("cand").alias("c")).distinct().join(vecs.withColumnRenamed("id", "c"), "c").select(F.col("blk").alias("blk"), "c", "v")
-        new = settle(left.groupBy("blk").cogroup(need.groupBy("blk")).applyInArrow(_advance(beam), STATE))
+        # the nodes that a block expands with their links, once each, and the vectors of everything they lead to
+        opened = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda e: ~e["done"]), 1, expand)
+        front = state.select(blk, F.explode(F.transform(opened, lambda e: e["ids"])).alias("node")).distinct()
+        reach = front.join(links, "node").select("blk", F.col("node").alias("c"), "out")
+        ends = reach.select("blk", "out").mapInArrow(_distinct_ends, "blk int, c long")
+        if step == 0:
+            ends = ends.union(cand.select(blk, F.explode("cand").alias("c")))
+        need = ends.distinct().join(vecs.withColumnRenamed("id", "c"), "c").select(F.col("blk").alias("blk"), "c", "v", F.lit(None).cast("array<long>").alias("out"))
+        right = need.union(reach.select("blk", "c", F.lit(None).cast("binary").alias("v"), "out"))
+        left = state.join(cand, "q", "left") if step == 0 else state.withColumn("cand", F.lit(None).cast("array<long>"))
+        left = left.select(blk, "q", "qv", F.coalesce("cand", F.array().cast("array<long>")).alias("cand"), "ids", "sims", "done")
+        new = settle(left.groupBy("blk").cogroup(right.groupBy("blk")).applyInArrow(_advance(beam, expand), STATE))
         unsettle(old)
         _collect_garbage(new)
-        old = new
-        z = F.arrays_zip("ids", "done")
-        opened = F.slice(F.filter(z, lambda e: ~e["done"]), 1, expand)
+        old = state = new
         if step == rounds or not new.where(F.exists("done", lambda d: ~d)).limit(1).count():
             break
-        front = new.select("q", F.explode(opened).alias("e")).select("q", F.col("e.ids").alias("node"))
-        cand = front.join(links, "node").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("cand"))
-        picked = F.transform(opened, lambda e: e["ids"])
-        state = new.withColumn("open", picked).select("q", "qv", "ids", "sims", F.zip_with("ids", "done", lambda i, d: d | F.array_contains("open", i)).alias("done"))
     return new.select("q", "ids", "sims")
 
 

@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         x = np.frombuffer(b"".join(r[1] for r in seen), np.uint16).reshape(len(seen), FEATURES).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([pack_model(fit(x, np.array([r[2] for r in seen])))], pa.binary())], ["model"])
 
-    got = src.mapInArrow(rows, "id long, x binary, y int").coalesce(1).mapInArrow(learn, MODEL_SCHEMA).collect()
+    got = src.mapInArrow(rows, "id long, x binary, y int").repartition(1).mapInArrow(learn, MODEL_SCHEMA).collect()
     return got[0][0] if got else pack_model(fit(np.zeros((0, FEATURES), np.float32), np.zeros(0)))
 
 

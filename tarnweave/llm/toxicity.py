@@ -19,7 +19,7 @@ from .common import chunks, normal_words, owners, pick, plain, sample_labels
 from .quality import pack_model, unpack_model
 
 SAMPLE, BUCKETS, TERMS, FACTORS, EPOCHS = 20_000, 1 << 26, 2048, 8, 15
-CHI2, LEAST_DOCS = 15.0, 5
+CHI2, LEAST_DOCS, STEPS = 15.0, 5, 1500
 
 
 def doc_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,21 +42,24 @@ def forward(model: dict[str, np.ndarray], rows: np.ndarray, slots: np.ndarray, n
 
 
 def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Train on four fifths of the rows; the cut between the classes is the best one for the last fifth."""
+    """Train on four fifths of the rows; the cut between the classes is the best one for the last fifth.
+
+    At least STEPS mini-batches are taken. Where no term is tied to the label, the cut is out of reach.
+    """
     n = len(y)
     head = n - n // 5
     at = int(np.searchsorted(rows, head))
     model = descend(rows[:at], terms[:at], y[:head], epochs)
-    model["cut"] = np.array([0.5])
+    model["cut"] = np.array([0.5 if len(model["keys"]) else 2.0])
     z, held = logits(model, rows[at:] - head, terms[at:], n - head), y[head:]
-    if 0 < held.sum() < len(held):
+    if len(model["keys"]) and 0 < held.sum() < len(held):
         order = np.argsort(z, kind="stable")
         z, held = z[order], held[order]
         hit = held.sum() - np.concatenate([[0], np.cumsum(held)])  # toxic ones at or above place i
         f1 = 2 * hit / (np.arange(len(z), -1, -1) + held.sum())
         edge = np.concatenate([[True], z[1:] > z[:-1], [True]])
         i = int(np.argmax(np.where(edge, f1, -1)))
-        mid = (z[i - 1] + z[i]) / 2 if 0 < i < len(z) else (z[0] - 1 if i == 0 else z[-1] + 1)
+        mid = 0.75 * z[i - 1] + 0.25 * z[i] if 0 < i < len(z) else (z[0] - 1 if i == 0 else z[-1] + 1)
         model["cut"] = np.array([1 / (1 + np.exp(-np.clip(mid, -30, 30)))])
     return model
 
@@ -82,7 +85,7 @@ def descend(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int) ->
     first = np.searchsorted(rows, np.arange(n + 1))
     gw, gv, gb = np.full(len(good), 1e-6), np.full((len(good), FACTORS), 1e-6), 1e-6
     weight = np.where(y > 0, max(1.0, (n - pos) / max(pos, 1) / 2), 1.0)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 256 // n))):
         order = rng.permutation(n)
         for k in range(0, n, 256):
             batch = order[k : k + 256]
@@ -143,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         model = fit(own, np.concatenate(terms) if terms else np.zeros(0, np.int32), np.array([r[2] for r in seen], float))
         yield pa.RecordBatch.from_arrays([pa.array([pack_model(model)], pa.binary())], ["model"])
 
-    got = src.mapInArrow(rows, "id long, x binary, y int").coalesce(1).mapInArrow(learn, "model binary").collect()
+    got = src.mapInArrow(rows, "id long, x binary, y int").repartition(1).mapInArrow(learn, "model binary").collect()
     return got[0][0] if got else pack_model(fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
 
 
@@ -165,7 +168,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, score, toxic) for every document; toxic where the score reaches the cut found in training.
 
     Null, empty and wordless texts have the score of a text without known terms. With no labels, or labels
-    of one class, the score is the prior's. Repeated rows give repeated results; null ids stay.
+    of one class, nothing is toxic. Repeated rows give repeated results; null ids stay.
     """
     blob = train(docs, labels, most=most, id_col=id_col, text_col=text_col)
     model, cut = docs.sparkSession.sparkContext.broadcast(blob), float(unpack_model(blob)["cut"][0])
