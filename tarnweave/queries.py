@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import normalize, text, urls
 from .functions.extract import Rule
-from .operators import crawl, frontier, items, monitor, pages, stats
+from .operators import bloom, crawl, frontier, items, monitor, pages, stats
 from .sources import files, sinks
+from .streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,3 +723,92 @@ def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, count(*) FILTER (WHERE strlen(text) <= 500) AS small FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE strlen(text) <= 500) > 0")
 def body_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.cap_body(t(spark, sf_dir, "conversations"), 500, "text").groupBy("conv_id").agg(F.count("*").alias("small"))
+
+
+# -- pages built from the star schema: what the pages table lacks
+
+
+def _html(head: str, *parts: Column) -> Column:
+    return F.concat(F.lit(f"<html><head>{head}</head><body>"), *parts, F.lit("</body></html>"))
+
+
+@query("SELECT r_name AS page, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS place, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per region with a table of its nations, read back as rows."""
+    n = t(spark, sf_dir, "nation").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.struct("n_nationkey", F.concat(F.lit("<tr><td> "), "n_nationkey", F.lit("<td>"), "n_name", F.lit("</tr>")).alias("h"))
+    page = n.groupBy("r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["h"]), "").alias("rows"))
+    p = page.select(F.col("r_name").alias("url"), _html("", F.lit("<table><tr><th>Key<th>Name</tr>"), F.col("rows"), F.lit("</table>")).alias("html"))
+    x = pages.auto_extract(p, ("url",)).where("type = 'data'").select("url", F.explode("tables").alias("t")).select("url", F.posexplode("t.rows").alias("place", "r"))
+    return x.select(F.col("url").alias("page"), "place", F.element_at("r", "Key").alias("key"), F.element_at("r", "Name").alias("name"))
+
+
+@query("SELECT p_brand AS page, 'listing' AS type, p_name || ' ' || p_partkey AS name, '$' || printf('%.2f', p_retailprice) AS price, '/p/' || p_partkey AS url, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 2) GROUP BY ALL")
+def html_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue page per brand, its products read back; the price is found by its own element or by pattern."""
+    odd = F.col("p_partkey") % 2 == 1
+    price = F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice"))
+    card = F.concat(F.lit('<div class="product-card"><h2>'), "p_name", F.lit(" "), "p_partkey", F.lit('</h2><a href="/p/'), "p_partkey", F.lit('">more</a>'), F.when(odd, F.concat(F.lit('<span class="price">'), price, F.lit("</span>"))).otherwise(F.concat(F.lit("<i>only "), price, F.lit(" now</i>"))), F.lit("</div>"))
+    p = t(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.collect_list(card), "").alias("cards")).select(F.col("p_brand").alias("url"), _html("", F.col("cards")).alias("html"))
+    x = pages.auto_extract(p, ("url",)).where("type = 'listing'").select("url", "type", F.explode("data").alias("d"))
+    return x.groupBy(F.col("url").alias("page"), "type", *[F.element_at("d", k).alias(k) for k in ("name", "price", "url")]).agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT 's' || s_suppkey AS page, unnest(['json-ld', 'meta', 'microdata', 'opengraph', 'twitter-card']) AS kind,
+           unnest([s_name, s_name, s_name, s_name, s_name]) AS name, unnest(['Organization', NULL, 'https://schema.org/Organization', NULL, NULL]) AS type FROM supplier""")
+def html_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier pages with every kind of structured data, read back."""
+    name = F.col("s_name")
+    head = F.concat(F.lit("<html><head><title>"), name, F.lit('</title><meta property="og:name" content="'), name, F.lit('"><meta name="twitter:name" content="'), name, F.lit('"><script type="application/ld+json">{"@type":"Organization","name":"'), name, F.lit('"}</script></head><body><div itemscope itemtype="https://schema.org/Organization"><b itemprop="name"> '), name, F.lit(" </b></div></body></html>"))
+    p = t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("url"), head.alias("html"))
+    j = lambda k: F.get_json_object("data", f"$['{k}']")
+    return pages.structured_data(p, ("url",)).select(F.col("url").alias("page"), "kind", F.coalesce(j("name"), j("title")).alias("name"), j("@type").alias("type"))
+
+
+@query("SELECT c_custkey, 'article' AS type, c_name AS title, c_mktsegment AS author, '2024-01-02' AS date FROM customer")
+def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("<article><h1>"), "c_name", F.lit('</h1><span class="byline">'), "c_mktsegment", F.lit('</span><time datetime="2024-01-02">x</time></article>'))
+    p = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("url"), _html("", body).alias("html"))
+    d = F.element_at(F.filter("data", lambda x: F.element_at(x, "_type") == "article"), 1)
+    return pages.auto_extract(p, ("c_custkey",)).select("c_custkey", "type", *[F.element_at(d, k).alias(k) for k in ("title", "author", "date")])
+
+
+@query(f"SELECT page_id, {CANON} AS canonical FROM pages WHERE {CANON} NOT IN (SELECT {CANON} FROM pages WHERE page_id % 3 = 0)")
+def bloom_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As unseen_urls, through a Bloom filter and an exact check of its positives."""
+    k = frontier.keyed(t(spark, sf_dir, "pages"))
+    return bloom.hybrid_unseen(k.select("page_id", "canonical"), k.where("page_id % 3 = 0").select("canonical"), "canonical", 100_000)
+
+
+@query("""
+    WITH e AS (SELECT event_id, epoch_us(ts) / 1000000.0 AS a, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events)
+    SELECT event_id, round(max(a - i * 120) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 120, 3) AS start FROM e""")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One limit for all requests: the throttle with a single group."""
+    e = t(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("arrival"))
+    return frontier.throttle(e, 120.0, "arrival", (), ("event_id",)).select("event_id", F.round("start", 3).alias("start"))
+
+
+@query("SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS requests, max(age) AS oldest_s FROM (SELECT user_id, count(*) AS n, CAST(floor(epoch_us(max(ts)) / 1000000) - floor(epoch_us(min(ts)) / 1000000) AS BIGINT) AS age FROM events GROUP BY user_id)")
+def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.unix_seconds(F.max("ts").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))).alias("age"))
+    return u.agg(F.count("*").alias("sessions"), F.sum("n").alias("requests"), F.max("age").alias("oldest_s"))
+
+
+@query("SELECT p_partkey, CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 WHEN k <= 10 THEN 0.5 ELSE 0.2 END AS by_text, round(CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 ELSE 1.0 / k END, 6) AS by_element FROM (SELECT p_partkey, p_partkey % 20 + 1 AS k FROM part)")
+def selector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 20 + 1
+    return t(spark, sf_dir, "part").select("p_partkey", normalize.match_score(k).alias("by_text"), F.round(normalize.match_score(k, 1.0), 6).alias("by_element"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, counted in six-hour windows until it is drained; the final state is read back (an extension)."""
+    root = crawl.work_dir(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    schema = t(spark, sf_dir, "events").schema
+    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = changes.stream_windows(src, size="6 hours", late="40 days")
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
