@@ -12,11 +12,11 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 from .htmldom import Document, Node, xpath
 from .normalize import PRICE
 
-META_NAMES = ("description", "keywords", "author", "robots", "viewport", "generator", "theme-color", "application-name", "msapplication-TileColor")
-NOISE = "script, style, nav, footer, header, aside, .sidebar, .menu, .nav, .cookie"
-PRODUCTS = ("[itemtype*='Product']", ".product", ".product-card", ".product-item", ".product-grid-item", "[data-product]", ".item-card")
-ARTICLES = ("article", "[itemtype*='Article']", "[itemtype*='NewsArticle']", "[itemtype*='BlogPosting']", ".post", ".article", ".blog-post", ".entry-content")
-STABLE_ATTRS = ("data-testid", "data-id", "data-name", "data-type", "role", "aria-label", "name")
+META_NAMES = tuple("description keywords author robots viewport generator theme-color application-name msapplication-TileColor".split())
+NOISE = ", ".join("script style nav footer header aside .sidebar .menu .nav .cookie".split())
+PRODUCTS = tuple("[itemtype*='Product'] .product .product-card .product-item .product-grid-item [data-product] .item-card".split())
+ARTICLES = tuple("article [itemtype*='Article'] [itemtype*='NewsArticle'] [itemtype*='BlogPosting'] .post .article .blog-post .entry-content".split())
+STABLE_ATTRS = tuple("data-testid data-id data-name data-type role aria-label name".split())
 _PRICE = re.compile(PRICE)
 _ESCAPED = re.compile(r"([:.\[\]()/ ])")
 
@@ -152,7 +152,9 @@ def _prefixed(doc: Document, css: str, names: Sequence[str], prefix: str, keep_e
 def microdata(doc: Document) -> list[dict[str, str]]:
     """Properties of each outermost item; a property's value is its href, src, content, datetime or text."""
     out = []
-    for n in doc.select("[itemscope]:not([itemscope] [itemscope])"):
+    for n in doc.select("[itemscope]"):
+        if any("itemscope" in up.attrs for up in n.ancestors()):
+            continue
         data = {"@type": n.attrs["itemtype"]} if n.attrs.get("itemtype") else {}
         for p in doc.select("[itemprop]", n):
             v = next((p.attrs[a] for a in ("href", "src", "content", "datetime") if a in p.attrs), None)
@@ -177,7 +179,7 @@ def meta_tags(doc: Document) -> dict[str, object]:
     for name in META_NAMES:
         if v := _attr(doc, f'meta[name="{name}"]', "content"):
             out[name] = v
-    for key, css in (("canonical", 'link[rel="canonical"]'), ("favicon", 'link[rel="icon"], link[rel="shortcut icon"]')):
+    for key, css in (("canonical", 'link[rel="canonical"]'), ("favicon", 'link[rel="shortcut icon"], link[rel="icon"]')):
         if v := _attr(doc, css, "href"):
             out[key] = v
     langs = [{"lang": n.attrs["hreflang"], "href": n.attrs["href"]} for n in doc.select('link[rel="alternate"][hreflang]') if n.attrs.get("hreflang") and n.attrs.get("href")]
@@ -191,7 +193,7 @@ def structured(doc: Document) -> list[tuple[str, dict, str]]:
     out: list[tuple[str, dict, str]] = [("json-ld", d, raw) for d, raw in json_ld(doc)]
     if og := _prefixed(doc, 'meta[property^="og:"]', ("property",), "og:"):
         out.append(("opengraph", og, ""))
-    if tw := _prefixed(doc, 'meta[name^="twitter:"], meta[property^="twitter:"]', ("name", "property"), "twitter:"):
+    if tw := _prefixed(doc, 'meta[property^="twitter:"], meta[name^="twitter:"]', ("name", "property"), "twitter:"):
         out.append(("twitter-card", tw, ""))
     out += [("microdata", d, "") for d in microdata(doc)]
     if m := meta_tags(doc):
@@ -214,7 +216,7 @@ def tables(doc: Document) -> list[tuple[list[str], list[dict[str, str]]]]:
     """(headers, rows) of each table that has both. Without a thead the first row counts as the header."""
     out = []
     for t in doc.select("table"):
-        heads = [n.text().strip() for n in doc.select("thead th, thead td, tr:first-child th", t)]
+        heads = [n.text().strip() for n in doc.select("tr:first-child th, thead th, thead td", t)]
         if not heads:
             heads = [x for x in (n.text().strip() for n in doc.select("tr:first-child td", t)) if x]
         if not heads:
@@ -256,9 +258,9 @@ def products(doc: Document) -> list[dict[str, str]]:
     for css in PRODUCTS:
         for s in doc.select(css):
             p: dict[str, str] = {}
-            if v := _first_text(doc, s, ("h1", "h2", "h3", ".product-title", ".product-name", "[itemprop='name']", ".title", "a"), lambda x: size(x) < 200):
+            if v := _first_text(doc, s, "h1 h2 h3 .product-title .product-name [itemprop='name'] .title a".split(), lambda x: size(x) < 200):
                 p["name"] = v
-            price = _first_text(doc, s, (".price", "[itemprop='price']", ".product-price", ".cost", ".amount"))
+            price = _first_text(doc, s, ".price [itemprop='price'] .product-price .cost .amount".split())
             if not price and (m := _PRICE.search(s.text())):
                 price = m[0]
             if price:
@@ -267,9 +269,9 @@ def products(doc: Document) -> list[dict[str, str]]:
                 p |= {k: img.attrs[a] for k, a in (("image", "src"), ("image_alt", "alt")) if a in img.attrs}
             if (a := doc.first("a", s)) and "href" in a.attrs:
                 p["url"] = a.attrs["href"]
-            if v := _first_text(doc, s, (".rating", "[itemprop='ratingValue']", ".stars", ".review-score")):
+            if v := _first_text(doc, s, ".rating [itemprop='ratingValue'] .stars .review-score".split()):
                 p["rating"] = v
-            if v := _first_text(doc, s, (".description", "[itemprop='description']", ".product-desc", "p"), lambda x: 10 < size(x) < 1000):
+            if v := _first_text(doc, s, ".description [itemprop='description'] .product-desc p".split(), lambda x: 10 < size(x) < 1000):
                 p["description"] = v
             if p:
                 out.append({"_type": "product"} | p)
@@ -283,9 +285,9 @@ def articles(doc: Document) -> list[dict[str, str]]:
             a: dict[str, str] = {}
             if v := _first_text(doc, s, ("h1, h2, .title, .headline",)):
                 a["title"] = v
-            if v := _first_text(doc, s, (".author", "[itemprop='author']", "[rel='author']", ".byline")):
+            if v := _first_text(doc, s, ".author [itemprop='author'] [rel='author'] .byline".split()):
                 a["author"] = v
-            for d in ("time", "[itemprop='datePublished']", ".date", ".published", ".post-date"):
+            for d in "time [itemprop='datePublished'] .date .published .post-date".split():
                 if n := doc.first(d, s):
                     if v := n.attrs.get("datetime") if "datetime" in n.attrs else n.text().strip():
                         a["date"] = v

@@ -28,7 +28,7 @@ DATE_FORMS = (
     ("MM-dd-yyyy", False),
     ("MMM d HH:mm:ss yyyy", True),
 )
-PRICE = r"[\$€£¥₹]\s*[\d,]+\.?\d*|\d+[\.,]\d{2}\s*(?:USD|EUR|GBP|JPY|INR)"
+PRICE = r"[€£¥₹$]\s*[,\d]+(?:\.\d*)?|\d+[,.]\d\d\s*(?:EUR|GBP|INR|JPY|USD)"
 
 
 def parse_date(c: Column) -> Column:

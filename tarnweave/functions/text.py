@@ -13,12 +13,12 @@ from pyspark.sql import types as T
 #: ASCII word boundaries are spelled out because Java's \b follows Unicode.
 _L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 PII = (
-    ("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"),
-    ("CREDIT_CARD", _L + r"(?:\d{4}[-\s]?){3}\d{4}" + _R),
-    ("SSN", _L + r"\d{3}-\d{2}-\d{4}" + _R),
-    ("PHONE_INTL", r"\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}"),
-    ("PHONE_US", _L + r"\d{3}[-.]?\d{3}[-.]?\d{4}" + _R),
-    ("IP_V4", _L + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _R),
+    ("EMAIL", r"[\w.%+-]+@[A-Za-z\d.-]+\.[^\W\d_]{2,}"),
+    ("CREDIT_CARD", _L + r"\d{4}(?:[\s-]?\d{4}){3}" + _R),
+    ("SSN", _L + r"\d{3}-\d\d-\d{4}" + _R),
+    ("PHONE_INTL", r"[+]\d{1,3}[\s.-]?[(]?\d{1,4}[)]?[\s.-]?\d{1,4}[\s.-]?\d{1,9}"),
+    ("PHONE_US", _L + r"(?:\d{3}[.-]?){2}\d{4}" + _R),
+    ("IP_V4", _L + r"(?:\d{1,3}[.]){3}\d{1,3}" + _R),
 )
 
 

@@ -79,6 +79,7 @@ def throttle(df: DataFrame, delay: float, arrival: str, partition: Sequence[str]
     """With `start`: each request of a group begins no sooner than `delay` after the one before.
 
     start_i = max(arrival_i, start_{i-1} + delay) unrolls to a running maximum of arrival - (i-1) * delay.
+    Without partition columns all requests form one queue, which one task orders.
     """
     w = Window.partitionBy(*partition).orderBy(arrival, *order)
     i = (F.row_number().over(w) - 1) * F.lit(delay)
@@ -103,5 +104,7 @@ def assign_tasks(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     free = nodes.where("status = 'active' AND capacity > active_jobs").select(F.col("id").alias("node_id"), F.explode(F.expr("sequence(capacity - active_jobs, 1, -1)")).alias("left"))
     slots = free.withColumn("turn", F.row_number().over(Window.orderBy(F.desc("left"), "node_id")))
-    queue = tasks.where("status = 'pending'").select(F.col("id").alias("task_id"), F.row_number().over(Window.orderBy("priority", "id")).alias("turn"))
+    room = slots.count()  # no more tasks than slots need a rank: a top-k, not a sort of the whole queue
+    first = tasks.where("status = 'pending'").orderBy("priority", "id").limit(room)
+    queue = first.select(F.col("id").alias("task_id"), F.row_number().over(Window.orderBy("priority", "id")).alias("turn"))
     return queue.join(slots, "turn").select("task_id", "node_id")

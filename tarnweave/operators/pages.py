@@ -107,17 +107,17 @@ def seo_issues() -> Column:
     miss, h1 = F.col("images_without_alt"), F.col("h1_count")
     found = F.array(
         issue(t == 0, "error", "title", "Missing title tag", 20),
-        issue(t > 60, "warning", "title", F.format_string("Title too long (%d chars, max 60)", t), 5),
+        issue(t > 60, "warning", "title", F.format_string("Title too long (%d chars, limit 60)", t), 5),
         issue((t > 0) & (t < 10), "warning", "title", "Title too short", 5),
         issue(d == 0, "error", "description", "Missing meta description", 15),
-        issue(d > 160, "warning", "description", F.format_string("Description too long (%d chars, max 160)", d), 5),
+        issue(d > 160, "warning", "description", F.format_string("Description too long (%d chars, limit 160)", d), 5),
         issue(F.col("canonical") == "", "warning", "canonical", "Missing canonical URL", 5),
         issue(h1 == 0, "error", "headings", "Missing H1 tag", 10),
         issue(h1 > 1, "warning", "headings", F.format_string("Multiple H1 tags (%d)", h1), 5),
         issue(F.col("og_title") == "", "info", "opengraph", "Missing og:title", 3),
         issue(F.col("og_image") == "", "info", "opengraph", "Missing og:image", 3),
         issue(miss > 0, "warning", "images", F.format_string("%d images without alt text", miss), F.least(miss * 2, F.lit(10))),
-        issue(F.col("robots").contains("noindex"), "warning", "robots", "Page is set to noindex", 0),
+        issue(F.col("robots").contains("noindex"), "warning", "robots", "Page asks not to be indexed", 0),
         issue(F.col("viewport") == "", "warning", "mobile", "Missing viewport meta tag", 5),
     )
     return F.filter(found, lambda x: x.isNotNull())
@@ -239,8 +239,8 @@ def relocate(old: DataFrame, new: DataFrame, css: str, on: str = "url") -> DataF
 
 # -- classifiers over responses: native expressions
 
-CAPTCHA_MARKERS = ("g-recaptcha", "h-captcha", "cf-turnstile", "captcha", "recaptcha/api", "hcaptcha.com", "challenges.cloudflare.com")
-CHALLENGE_MARKERS = ("cloudflare", "cf-browser-verification", "jschl-answer", "cf_chl_opt", "challenge-platform")
+CAPTCHA_MARKERS = tuple("g-recaptcha h-captcha cf-turnstile captcha recaptcha/api hcaptcha.com challenges.cloudflare.com".split())
+CHALLENGE_MARKERS = tuple("cloudflare cf-browser-verification jschl-answer cf_chl_opt challenge-platform".split())
 
 
 def captcha_marker(body: Column) -> Column:

@@ -137,7 +137,7 @@ RULES = (
     Rule("heading", "article h1"),
     Rule("nav", "nav ul > li:nth-child(2) a", attribute="href"),
     Rule("foot", "//footer", "xpath"),
-    Rule("title", type="regex", pattern="<title>(?P<title>[^<]+)</title>"),
+    Rule("title", type="regex", pattern="<title>(?P<t>[^<]*)</title>"),
 )
 
 
@@ -352,7 +352,7 @@ def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REDACT = "text"
-for _kind, _rx in (("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"), ("CREDIT_CARD", r"\b(?:\d{4}[-\s]?){3}\d{4}\b"), ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"), ("PHONE_INTL", r"\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}"), ("PHONE_US", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"), ("IP_V4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")):
+for _kind, _rx in (("EMAIL", r"[\w.%+-]+@[A-Za-z\d.-]+\.[^\W\d_]{2,}"), ("CREDIT_CARD", r"\b\d{4}(?:[\s-]?\d{4}){3}\b"), ("SSN", r"\b\d{3}-\d\d-\d{4}\b"), ("PHONE_INTL", r"[+]\d{1,3}[\s.-]?[(]?\d{1,4}[)]?[\s.-]?\d{1,4}[\s.-]?\d{1,9}"), ("PHONE_US", r"\b(?:\d{3}[.-]?){2}\d{4}\b"), ("IP_V4", r"\b(?:\d{1,3}[.]){3}\d{1,3}\b")):
     REDACT = f"regexp_replace({REDACT}, '{_rx}', '[REDACTED_{_kind}]', 'g')"
 
 
@@ -760,7 +760,7 @@ def html_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier pages with every kind of structured data, read back."""
     name = F.col("s_name")
-    head = F.concat(F.lit("<html><head><title>"), name, F.lit('</title><meta property="og:name" content="'), name, F.lit('"><meta name="twitter:name" content="'), name, F.lit('"><script type="application/ld+json">{"@type":"Organization","name":"'), name, F.lit('"}</script></head><body><div itemscope itemtype="https://schema.org/Organization"><b itemprop="name"> '), name, F.lit(" </b></div></body></html>"))
+    head = F.concat(F.lit("<html><head><title>"), name, F.lit('</title><meta property="og:name" content="'), name, F.lit('"><meta name="twitter:name" content="'), name, F.lit('"><script id=j type=application/ld+json>{"@type":"Organization","name":"'), name, F.lit('"}</script></head><body><div itemscope itemtype="https://schema.org/Organization"><b itemprop="name"> '), name, F.lit(" </b></div></body></html>"))
     p = t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("url"), head.alias("html"))
     j = lambda k: F.get_json_object("data", f"$['{k}']")
     return pages.structured_data(p, ("url",)).select(F.col("url").alias("page"), "kind", F.coalesce(j("name"), j("title")).alias("name"), j("@type").alias("type"))
