@@ -39,16 +39,20 @@ def prometheus(metrics: DataFrame, prefix: str = "crawl", name: str = "name", va
     return metrics.select(F.concat(F.lit("# HELP "), full, F.lit(" "), F.col(help_), F.lit("\n# TYPE "), full, F.lit(" counter\n"), full, F.lit(" "), F.col(value).cast("string")).alias("line"))
 
 
-def floor_percentiles(df: DataFrame, value: str, percents: Sequence[float], group: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
-    """p<percent>: the element at 0-based place floor(n * p / 100) of the sorted values, the last one at most."""
+def floor_percentiles(df: DataFrame, value: str, percents: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """p<percent>: the element at 0-based place floor(n * p / 100) of the sorted values, the last one at most.
+
+    Equal values are counted before the shuffle, so what is sorted per group is its distinct values.
+    """
     w = Window.partitionBy(*group)
-    ranked = df.where(F.col(value).isNotNull()).select(*group, value, F.row_number().over(w.orderBy(value, *tie)).alias("_at"), F.count("*").over(w).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    ranked = counted.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
 
     def at(p: float) -> Column:
-        place = F.least(F.floor(F.col("_n") * p / 100) + 1, F.col("_n"))
-        return F.max(F.when(F.col("_at") == place, F.col(value))).alias(f"p{p:g}".replace(".", "_"))
+        place = F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
+        return F.max(F.when((place < F.col("_to")) & (place >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"p{p:g}".replace(".", "_"))
 
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), *[at(p) for p in percents])
+    return ranked.groupBy(*group).agg(F.sum("_c").alias("n"), *[at(p) for p in percents])
 
 
 def latency_report(samples: DataFrame, seconds: float, group: Sequence[str] = ()) -> DataFrame:

@@ -575,7 +575,7 @@ def _pct(p: str, n: str = "len(v)") -> str:
 
 @query(f"SELECT event_type, len(v) AS n, {_pct('50')} AS p50, {_pct('95')} AS p95, {_pct('99')} AS p99, {_pct('99.9')} AS p99_9 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.floor_percentiles(t(spark, sf_dir, "events"), "value", (50, 95, 99, 99.9), ("event_type",), ("event_id",))
+    return stats.floor_percentiles(t(spark, sf_dir, "events"), "value", (50, 95, 99, 99.9), ("event_type",))
 
 
 @query(f"""
