@@ -57,7 +57,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
+#: What common.PUNCT trims, as a regular-expression class.
+_P = r"[!-/:-@\[-`{-~¡¿«»“”‘’…–—]+"
+
 ORACLE = {
+    "op9_near_duplicates": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda x: regexp_replace(x, '^{_P}|{_P}$', '', 'g')), lambda x: x <> '') AS w
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2]) END) AS s
+            FROM words WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+        near AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE c >= 0.5 * (p.n + q.n - c)),
+        edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+        reach(id, top) AS (SELECT DISTINCT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.top FROM reach r JOIN edges e ON e.a = r.id WHERE r.top < e.b)
+        SELECT id AS doc_id, min(top) AS group_id FROM reach GROUP BY id""",
     "op7_embedding_pairs": """
         SELECT x.vec_id AS a, y.vec_id AS b
         FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
