@@ -113,3 +113,23 @@ def reachable_sitemaps(sitemaps: DataFrame, root: str, most: int = 8) -> DataFra
 
 def canonical_column(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("canonical", urls.canonical(F.col(url)))
+
+
+def rejects(attempts: DataFrame) -> DataFrame:
+    """What went wrong in a log of (url, status, error), with stage, class and whether another try makes sense; good answers have no row."""
+    s, e = F.col("status"), F.col("error")
+    kind = (
+        F.when(e.isin("parse_error", "bad_selector"), "parse")
+        .when(e.isin("write_error", "disk_full"), "storage")
+        .when(e == "dropped", "pipeline")
+        .when(e.isNotNull() | (s >= 400), "fetch")
+    )
+    name = F.coalesce(e, F.when(s == 429, "rate_limited").when(s >= 500, "server_error").when(s == 404, "not_found").when(s >= 400, "client_error"))
+    again = (kind == "fetch") & F.coalesce(pages.is_retryable(e) | (s == 429) | (s >= 500), F.lit(False)) & F.coalesce(~e.isin("canceled", "deadline"), F.lit(True))
+    return attempts.withColumns({"stage": kind, "error_class": name, "retryable": again}).where("stage IS NOT NULL")
+
+
+def sitemap_candidates(origins: DataFrame, origin: str = "origin") -> DataFrame:
+    """(origin, candidate): where a site's sitemap usually lies."""
+    paths = F.array(*[F.lit(x) for x in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")])
+    return origins.select(origin, F.explode(F.transform(paths, lambda x: F.concat(F.col(origin), x))).alias("candidate"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import normalize, text, urls
 from .functions.extract import Rule
 from .operators import bloom, crawl, frontier, items, monitor, pages, stats
+from .plans import recipes
 from .sources import files, sinks
 from .streaming import changes
 
@@ -812,3 +813,27 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+    SELECT event_id, CASE event_type WHEN 'signup' THEN 'not_found' WHEN 'purchase' THEN 'rate_limited' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'canceled' END END AS error_class,
+           'fetch' AS stage, event_type = 'purchase' OR (event_type = 'error' AND event_id % 2 = 0) AS retryable
+    FROM events WHERE event_type IN ('signup', 'purchase', 'error')""")
+def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.rejects(_responses(spark, sf_dir)).select("event_id", "error_class", "stage", "retryable")
+
+
+@query("SELECT 'https://' || host AS origin, 'https://' || host || unnest(['/sitemap.xml', '/sitemap_index.xml', '/sitemap/sitemap.xml']) AS candidate FROM (SELECT DISTINCT regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)")
+def sitemap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = frontier.keyed(t(spark, sf_dir, "pages").select("url")).select(F.concat(F.lit("https://"), "host").alias("origin")).distinct()
+    return crawl.sitemap_candidates(k)
+
+
+@query("SELECT c_mktsegment AS page, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS INTEGER) AS position, c_name AS quote, 'by ' || c_nationkey AS \"by\", 't' || c_custkey || '|x' AS tags FROM customer")
+def recipe_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as quotes on a page per segment, read back by a ready rule set."""
+    box = F.concat(F.lit('<div class="quote"><span class="text">'), "c_name", F.lit('</span><small class="author">by '), "c_nationkey", F.lit('</small><a class="tag">t'), "c_custkey", F.lit('</a><a class="tag">x</a></div>'))
+    row = F.sort_array(F.collect_list(F.struct("c_custkey", box.alias("h"))))
+    p = t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_join(F.transform(row, lambda x: x["h"]), "").alias("h")).select(F.col("c_mktsegment").alias("url"), _html("", F.col("h")).alias("html"))
+    r = recipes.run_recipe(p, recipes.RECIPES["quotes"])
+    return r.select(F.col("url").alias("page"), "position", *[F.element_at("item", k).alias(k) for k in ("quote", "by", "tags")])
