@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +66,23 @@ def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Bins of one group. Items come in the order of (doc_id, start); nulls last."""
-    pdf = pdf.sort_values(["doc_id", "size"], na_position="last", kind="stable")
-    ids, starts, sizes = [], [], []
-    for d, size in zip(pdf["doc_id"].tolist(), pdf["size"].tolist()):
-        d = None if pd.isna(d) else int(d)
-        for start in range(0, int(size), capacity):
-            ids.append(d)
-            starts.append(start)
-            sizes.append(min(capacity, int(size) - start))
-    where = sum_of_squares(sizes, capacity)
+def pack_group(table: pa.Table, capacity: int) -> pa.Table:
+    """Bins of one group. Items come in the order of (doc_id, size, start); null ids last."""
+    docs = sorted(zip(table["doc_id"].to_pylist(), table["size"].to_pylist()), key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    items = [(d, start, min(capacity, size - start)) for d, size in docs for start in range(0, size, capacity)]
     bins: dict[int, list[int]] = {}
-    for item, b in enumerate(where):
+    for item, b in enumerate(sum_of_squares([n for _, _, n in items], capacity)):
         bins.setdefault(b, []).append(item)
-    return pd.DataFrame(
+    group = table["pack_group"][0].as_py() if table.num_rows else 0
+    col = lambda k: [[items[i][k] for i in x] for x in bins.values()]
+    return pa.table(
         {
-            "pack_group": int(pdf["pack_group"].iloc[0]) if len(pdf) else 0,
-            "bin": list(bins),
-            "doc_ids": [[ids[i] for i in x] for x in bins.values()],
-            "starts": [[starts[i] for i in x] for x in bins.values()],
-            "lens": [[sizes[i] for i in x] for x in bins.values()],
-            "used": [sum(sizes[i] for i in x) for x in bins.values()],
+            "pack_group": pa.array([group] * len(bins), pa.int32()),
+            "bin": pa.array(list(bins), pa.int32()),
+            "doc_ids": pa.array(col(0), pa.list_(pa.int64())),
+            "starts": pa.array(col(1), pa.list_(pa.int64())),
+            "lens": pa.array(col(2), pa.list_(pa.int32())),
+            "used": pa.array([sum(items[i][2] for i in x) for x in bins.values()], pa.int32()),
         }
     )
 
@@ -98,7 +92,7 @@ def pack_sizes(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group: i
     group is packed alone, so at most a few open sequences a group are wasted; only ids and sizes are shuffled."""
     groups = max(1, -(-n_docs // group))
     dealt = sizes.where(F.col("size") > 0).withColumn("pack_group", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(groups)).cast("int"))
-    return dealt.groupBy("pack_group").applyInPandas(lambda pdf: pack_group(pdf, capacity), SCHEMA)
+    return dealt.groupBy("pack_group").applyInArrow(lambda table: pack_group(table, capacity), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -245,6 +245,12 @@ def test_packing_documents(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    big = (1 << 62) + 1
+    rows = packing.pack_documents(spark.createDataFrame([(big, "a b"), (None, "c d"), (big + 1, "e")], "doc_id long, text string"), group=100).collect()
+    assert {d for r in rows for d in r.doc_ids} == {big, big + 1, None}
+
+
 # -- 5
 
 
