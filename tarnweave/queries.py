@@ -797,7 +797,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.agg(F.count("*").alias("sessions"), F.sum("n").alias("requests"), F.max("age").alias("oldest_s"))
 
 
-@query("SELECT p_partkey, CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 WHEN k <= 10 THEN 0.5 ELSE 0.2 END AS by_text, round(CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 ELSE 1.0 / k END, 6) AS by_element FROM (SELECT p_partkey, p_partkey % 20 + 1 AS k FROM part)")
+@query("SELECT p_partkey, CAST(CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 WHEN k <= 10 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS by_text, round(CAST(CASE WHEN k = 1 THEN 1.0 WHEN k <= 3 THEN 0.8 ELSE 1.0 / k END AS DOUBLE), 6) AS by_element FROM (SELECT p_partkey, p_partkey % 20 + 1 AS k FROM part)")
 def selector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 20 + 1
     return t(spark, sf_dir, "part").select("p_partkey", normalize.match_score(k).alias("by_text"), F.round(normalize.match_score(k, 1.0), 6).alias("by_element"))
