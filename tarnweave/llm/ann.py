@@ -8,6 +8,7 @@ uses it, not one per edge. Rounds are Spark joins; each round's graph is a table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, settle, unsettle
 
-GRAPH_K, BLOCK, LEAF, TREES, ITERATIONS = 40, 4096, 2048, 6, 4
-NEAREST, BEAM, EXPAND, ROUNDS = 10, 96, 16, 6
+GRAPH_K, BLOCK, LEAF, TREES = 40, 4096, 2048, 6
+NEAREST, BEAM, EXPAND = 10, 96, 16
 EDGES = "u long, b long, s float"
 
 
@@ -156,15 +157,15 @@ def _collect_garbage(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
-def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int = LEAF, trees: int = TREES, iterations: int = ITERATIONS, settle_at: float = 0.06) -> DataFrame:
-    """(u, nb) for settled codes (id, v). Rounds end when fewer than `settle_at` of the edges are new."""
+def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int = LEAF, trees: int = TREES, settle_at: float = 0.01) -> DataFrame:
+    """(u, nb) for settled codes (id, v). Rounds go on, whatever their number, until at most `settle_at` of the edges are new; lists only improve, so they end."""
     head = vecs.select("v").first()
     if head is None:
         return vecs.sparkSession.createDataFrame([], "u long, nb array<struct<s:float,b:long,fresh:boolean>>")
     n, dim = vecs.count(), len(head[0]) // 2
     blocks = max(1, -(-n // block))
     graph = settle(_merge(_seed(vecs, n, dim, k, leaf, trees).withColumn("fresh", F.lit(True)), k))
-    for _ in range(iterations):
+    while True:
         flat = graph.select("u", F.explode("nb").alias("e")).select("u", F.col("e.b").alias("a"), "e.s", "e.fresh")
         # each node also sees the k best of those that have it as a neighbour
         back = flat.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "u", "fresh")), asc=False), 1, k).alias("r")).select(F.col("a").alias("u"), F.explode("r").alias("e"))
@@ -178,8 +179,7 @@ def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int
         _collect_garbage(graph)
         change = graph.select(F.sum(F.size(F.filter("nb", lambda e: e["fresh"]))), F.sum(F.size("nb"))).first()
         if not change[1] or change[0] <= settle_at * change[1]:
-            break
-    return graph
+            return graph
 
 
 def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +254,11 @@ def _distinct_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<boolean>"
 
 
-def search(vecs: DataFrame, graph: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, expand: int = EXPAND, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def search(vecs: DataFrame, graph: DataFrame, queries: DataFrame, starts: DataFrame, beam: int = BEAM, expand: int = EXPAND, block: int = BLOCK) -> DataFrame:
     """Greedy beam search, all queries a step at a time: (q, ids, sims) with the best `beam` found.
 
     queries: (q, qv); starts: (q, cand) with the nodes where each query begins. Each round expands the best
-    `expand` nodes of each beam that weren't expanded yet; a query ends when its beam has none.
+    `expand` nodes of each beam that weren't expanded yet, until no beam has one; a node that left a beam never comes back.
     """
     spark = vecs.sparkSession
     blocks = max(1, -(-queries.count() // block))
@@ -268,7 +268,7 @@ def search(vecs: DataFrame, graph: DataFrame, queries: DataFrame, starts: DataFr
     links = graph.select(F.col("u").alias("node"), F.transform("nb", lambda e: e["b"]).alias("out"))
     back = graph.select("u", F.explode("nb").alias("e")).groupBy(F.col("e.b").alias("node")).agg(F.slice(F.sort_array(F.collect_list(F.struct("e.s", "u")), asc=False), 1, GRAPH_K).alias("r"))
     links = settle(links.join(back, "node", "full").select("node", F.array_distinct(F.concat(F.coalesce("out", F.array().cast("array<long>")), F.coalesce(F.transform("r", lambda e: e["u"]), F.array().cast("array<long>")))).alias("out")))
-    for step in range(rounds + 1):
+    for step in count():
         # the nodes that a block expands with their links, once each, and the vectors of everything they lead to
         opened = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda e: ~e["done"]), 1, expand)
         front = state.select(blk, F.explode(F.transform(opened, lambda e: e["ids"])).alias("node")).distinct()
@@ -284,9 +284,8 @@ def search(vecs: DataFrame, graph: DataFrame, queries: DataFrame, starts: DataFr
         unsettle(old)
         _collect_garbage(new)
         old = state = new
-        if step == rounds or not new.where(F.exists("done", lambda d: ~d)).limit(1).count():
-            break
-    return new.select("q", "ids", "sims")
+        if not new.where(F.exists("done", lambda d: ~d)).limit(1).count():
+            return new.select("q", "ids", "sims")
 
 
 def entry_points(vecs: DataFrame, queries: DataFrame, most: int = 256) -> DataFrame:
@@ -300,7 +299,7 @@ def nearest_neighbours(df: DataFrame, k: int = NEAREST, id_col: str = "vec_id",
 
     Each row is a query whose greedy search begins at its own neighbours in the graph. Vectors that
     unit_codes() leaves out have no row; a single vector has empty arrays; an empty table gives no rows.
-    Recall against brute force is over 0.9 on isotropic 64-dimensional data, the hardest kind.
+    Recall against brute force is 0.945 on 51,282 nearly isotropic vectors; other sizes aren't measured.
     """
     vecs = settle(unit_codes(df, id_col, vec_col))
     graph = build_graph(vecs)
@@ -315,5 +314,5 @@ def search_vectors(df: DataFrame, queries: DataFrame, k: int = NEAREST, id_col:
     """(query_id, neighbours, cosines) for vectors that needn't be in the table (same column names); a vector equal to its query counts. See nearest_neighbours()."""
     vecs = settle(unit_codes(df, id_col, vec_col))
     asked = settle(unit_codes(queries, id_col, vec_col)).select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    found = search(vecs, build_graph(vecs), asked, entry_points(vecs, asked), rounds=4 * ROUNDS)
+    found = search(vecs, build_graph(vecs), asked, entry_points(vecs, asked))
     return found.select(F.col("q").alias("query_id"), F.slice("ids", 1, k).alias("neighbours"), F.transform(F.slice("sims", 1, k), lambda s: F.round(s, 4)).alias("cosines"))

@@ -187,6 +187,17 @@ def test_outside_queries(spark):
     assert np.mean([len(got[i] & set(true[i].tolist())) for i in range(40)]) >= 9
 
 
+def test_search_goes_on_until_beams_are_exhausted(spark):
+    """A chain where each node links to the next: the answer is 12 steps away."""
+    a = np.linspace(0, 1.5, 13)
+    df = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(a)], "vec_id long, embedding array<float>")
+    vecs = ann.unit_codes(df, "vec_id", "embedding").localCheckpoint()
+    links = spark.createDataFrame([(i, [(1.0, i + 1, False)]) for i in range(12)], "u long, nb array<struct<s:float,b:long,fresh:boolean>>")
+    asked = vecs.where("id = 12").select(F.lit(-1).cast("long").alias("q"), F.col("v").alias("qv"))
+    got = ann.search(vecs, links, asked, spark.createDataFrame([(-1, [0])], "q long, cand array<long>"), beam=8).collect()
+    assert [list(r.ids) for r in got] == [[12, 11, 10, 9, 8, 7, 6, 5]]
+
+
 # -- 4
 
 
