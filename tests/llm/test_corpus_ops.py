@@ -471,6 +471,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i, g in got.items() if i == g}
 
 
+def test_all_pairs_of_crowded_regions_are_candidates():
+    """200 documents with the same first minima, in two batches; the two alike are far apart in the order."""
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 256, (200, minhash.TREES * minhash.DEPTH), np.uint8)
+    sketch[190] = sketch[5]
+    keys = [b"\0" * (2 * minhash.SHALLOW) + i.to_bytes(2 * (minhash.DEPTH - minhash.SHALLOW), "big") for i in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int32()), pa.array(keys), pa.array(range(200), pa.int64()), pa.array([r.tobytes() for r in sketch])], ["tree", "key", "doc", "sketch"])
+    got = [p for b in minhash._neighbours(0.3)(iter([rows.slice(0, 120), rows.slice(120)])) for p in b.to_pylist()]
+    assert got == [{"a": 5, "b": 190, "est": 1.0}]
+
+
 def test_near_duplicate_edges(spark):
     docs = nasty(spark)
     got = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs).collect()}
