@@ -1,15 +1,18 @@
 """Token ids as compressed binary blocks: an adaptive context-mixing range coder.
 
 A block holds a fixed number of ids of a partition's stream of documents and is coded alone: its model
-starts afresh, and it carries a checksum. The block's ids lie in lanes, consecutive stretches that are
+starts afresh, and it carries checksums. The block's ids lie in lanes, consecutive stretches that are
 coded in step, so every operation is one numpy call over all lanes. Three predictors are mixed:
 
-* order 0: adaptive counts of all ids;
-* order 1 and 2: for the last one or two ids the id that followed before, with a confidence.
+* order 2: counts of the ids that followed the last two ids (12 bits of the earlier one);
+* order 1: counts of the ids that followed the last id;
+* order 0: adaptive counts of all ids.
 
-The mixture's weights are learned for each pair of confidences from how well each predictor did. The
-mass of the two predicted ids and the escape to order 0 drive a carry-less 64-bit range coder. Model and
-weights change after each group of steps, the same way in the encoder and the decoder.
+Orders 2 and 1 are interpolated over the ids that followed the last id; an escape leads to order 0. Weight and
+escape are learned for each class of contexts (how often seen, how varied) from how well they did. Counts are kept
+as sorted (context, id) keys with running sums, so that an id's interval is two binary searches. They and the weights change
+after each group of steps, the groups growing with what is known, the same way in encoder and decoder; all sums are
+of integers, so both get the same numbers on any machine. A carry-less 64-bit range coder codes the intervals.
 """
 
 from __future__ import annotations
@@ -27,98 +30,190 @@ from pyspark.sql import types as T
 from .bpe_ids import RANKS, ids_of, load_ranks
 from .common import chunks, pick, plain
 
-MAGIC = b"TWB1"
-HEAD = struct.Struct("<4sIIIIII")  # magic, ids, vocabulary, lanes, steps a group, checksum of the ids, checksum of the payload
-BLOCK, LANES, GROUP = 1 << 20, 4096, 4
-MASS = 1 << 12
-TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-U16, U48 = np.uint64(16), np.uint64(48)
+MAGIC = b"TWB2"
+HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, checksum of the ids, checksum of the payload
+BLOCK, LANES = 1 << 20, 1024
+#: Bits of an id in a key, and of the id before the last.
+ID_BITS, HASH_BITS = 20, 12
+MASS, MOST = 1 << 18, 1 << 20  # units of an interval; largest sum of order-0 counts
+TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
+U16, U40, U48 = np.uint64(16), np.uint64(40), np.uint64(48)
+
+
+class Counts:
+    """Counts of (context, id) as sorted keys with running sums."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._sum()
+
+    def _sum(self) -> None:
+        self.cum = np.zeros(len(self.n) + 1, np.int32)
+        np.cumsum(self.n, out=self.cum[1:])
+        self.padded = np.append(self.keys, np.int64(-1))
+        self.padded_n = np.append(self.n, np.int32(0))
+
+    def add(self, keys: np.ndarray, n: np.ndarray, pos: np.ndarray | None = None, known: np.ndarray | None = None) -> None:
+        """keys: sorted and distinct; pos, known: their find(), where it is known."""
+        if pos is None:
+            pos, known = self.find(keys)
+        self.n[pos[known]] += n[known].astype(np.int32)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            to = pos[fresh] + np.arange(len(fresh))
+            old = np.ones(len(self.keys) + len(fresh), bool)
+            old[to] = False
+            both, sums = np.empty(len(old), np.int64), np.empty(len(old), np.int32)
+            both[to], both[old], sums[to], sums[old] = keys[fresh], self.keys, n[fresh], self.n
+            self.keys, self.n = both, sums
+        self._sum()
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it holds the key)."""
+        pos = np.searchsorted(self.keys, keys)
+        return pos, self.padded[pos] == keys
+
+
+def _log2(n: np.ndarray) -> np.ndarray:
+    """Bits of a count, 0 to 15."""
+    return np.minimum(np.frexp(n.astype(np.float32))[1], 15)
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    if not len(sorted_keys):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
+def context_of(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """The last id and 12 bits of the one before."""
+    return p1.astype(np.int64) << HASH_BITS | ((p2.astype(np.int64) * 0x9E3779B1) >> 15) & ((1 << HASH_BITS) - 1)
 
 
 class Model:
     def __init__(self, vocab: int):
+        if vocab > 1 << ID_BITS:
+            raise ValueError("the vocabulary is too large")
         self.vocab = vocab
-        self.bits = 16
         self.count = np.ones(vocab, np.int64)
-        self.next = [np.zeros(vocab, np.int32), np.zeros(1 << self.bits, np.int32)]
-        self.sure = [np.zeros(vocab, np.uint8), np.zeros(1 << self.bits, np.uint8)]
-        self.right = [np.linspace(0.05, 0.9, 8), np.linspace(0.05, 0.9, 8)]  # chance that a prediction of this confidence holds
-        self.weight = np.full((128, 3), 1 / 3)
+        self.one, self.two = Counts(), Counts()
+        grade = np.arange(64) % 4
+        # for each class of contexts: escapes and visits, trust in order 2 and visits; 1/65536ths
+        self.escaped, self.seen = (grade + 1) * 6554.0 + 1.0, np.full(64, 65536.0) * 2
+        self.trust, self.asked = (4 - grade) * 13107.0, np.full(64, 65536.0)
         self._sum()
 
     def _sum(self) -> None:
-        if self.count.sum() > 1 << 18:
+        while self.count.sum() > MOST - 64 and self.count.max() > 1:
             self.count = (self.count + 1) >> 1
-        self.cum = np.concatenate([[0], np.cumsum(self.count)])
-        self.total = int(self.cum[-1])
-
-    def look(self, p1: np.ndarray, p2: np.ndarray) -> tuple:
-        """For each place: contexts, predicted ids, confidences, weight set and integer masses."""
-        c2 = ((p1.astype(np.int64) * 0x9E3779B1 + p2.astype(np.int64) * 0x85EBCA6B) >> 7) & ((1 << self.bits) - 1)
-        g1, g2 = self.next[0][p1], self.next[1][c2]
-        n1, n2 = self.sure[0][p1], self.sure[1][c2]
-        agree = g1 == g2
-        s = (n2.astype(np.int64) * 8 + n1) * 2 + agree
-        q1, q2 = self.right[0][n1], self.right[1][n2]
-        w = self.weight[s]
-        a = (w[:, 2] * q2 * (MASS - 3)).astype(np.int64) + 1
-        b = (w[:, 1] * q1 * (MASS - 3)).astype(np.int64) + 1
-        return c2, g1, g2, n1, n2, agree, s, q1, q2, w, a, b
-
-    def learn(self, p1: np.ndarray, seen: tuple, x: np.ndarray) -> None:
-        c2, g1, g2, n1, n2, agree, s, q1, q2, w = seen[:10]
-        p0 = self.count[x] / self.total
-        h1, h2 = g1 == x, g2 == x
-        e1 = np.where(h1, q1, (1 - q1) * p0) * w[:, 1]
-        e2 = np.where(h2, q2, (1 - q2) * p0) * w[:, 2]
-        e0 = p0 * w[:, 0]
-        all3 = e0 + e1 + e2
-        n = np.bincount(s, minlength=128)
-        got = np.stack([np.bincount(s, e / all3, 128) for e in (e0, e1, e2)], 1)
-        rate = (n / (n + 400.0))[:, None]
-        fresh = self.weight * (1 - rate) + rate * got / np.maximum(n, 1)[:, None]
-        self.weight = np.maximum(fresh, 1e-3)
-        self.weight /= self.weight.sum(1)[:, None]
-        for k, (ctx, hit, sure) in enumerate(((p1, h1, n1), (c2, h2, n2))):
-            m = np.bincount(sure, minlength=8)
-            r = m / (m + 200.0)
-            self.right[k] = np.clip(self.right[k] * (1 - r) + r * np.bincount(sure, hit, 8) / np.maximum(m, 1), 1e-3, 0.999)
-            swap = ~hit & (sure <= 1)
-            self.next[k][ctx[swap]] = x[swap]
-            self.sure[k][ctx] = np.where(hit, np.minimum(sure + 1, 7), np.where(swap, 1, sure >> 1))
-        np.add.at(self.count, x, 24)
+        self.base = np.concatenate([[0], np.cumsum(self.count)])
+        self.total = int(self.base[-1])
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.one.keys >> ID_BITS, minlength=self.vocab))])
+        self.esc = np.clip(self.escaped / self.seen, 1 / 4096, 0.98)
+        self.mix = np.clip(self.trust / self.asked, 0.02, 0.98)
+
+    def contexts(self, c2: np.ndarray) -> tuple:
+        """What the contexts tell before the next id is known: (last id, first place, counts before and in all, ids) of order 1, (counts before and in all) of order 2, classes, mass of the escape, of order 2 and of order 1."""
+        p1 = c2 >> HASH_BITS
+        s1, e1 = self.at[p1], self.at[p1 + 1]
+        b1 = self.one.cum[s1]
+        t1, d1 = self.one.cum[e1] - b1, e1 - s1
+        t1 = np.where(d1 > MASS // 4, 0, t1)  # too many to tell apart: order 0 alone
+        d1 = np.where(t1 > 0, d1, 0)
+        s2, e2 = np.searchsorted(self.two.keys, c2 << ID_BITS), np.searchsorted(self.two.keys, (c2 + 1) << ID_BITS)
+        b2 = self.two.cum[s2]
+        t2 = self.two.cum[e2] - b2
+        k1 = _log2(t1) * 4 + np.minimum(4 * d1 // np.maximum(t1, 1), 3)
+        k2 = _log2(t2) * 4 + np.minimum(4 * (e2 - s2) // np.maximum(t2, 1), 3)
+        esc = np.where(t1 > 0, (self.esc[k1] * (MASS - d1)).astype(np.int64) + 1, MASS)
+        rest = np.maximum(MASS - esc - d1, 0)
+        a2 = np.where(t2 > 0, (rest * self.mix[k2]).astype(np.int64), 0)
+        return p1, s1, b1, t1, d1, b2, t2, k1, k2, esc, a2, rest - a2
+
+    def interval(self, seen: tuple, pos1: np.ndarray, pos2: np.ndarray, hit2: np.ndarray) -> tuple:
+        """(begin, parts of orders 2 and 1, size) of the ids at places pos1 of order 1 and, where hit2, pos2 of order 2."""
+        _, s1, b1, t1, _, b2, t2, _, _, _, a2, a1 = seen
+        t1, t2 = np.maximum(t1, 1), np.maximum(t2, 1)
+        l1, l2 = self.one.cum[pos1] - b1, self.two.cum[pos2] - b2
+        n1, n2 = self.one.padded_n[pos1], self.two.padded_n[pos2] * hit2
+        q2, q1 = a2 * l2 // t2, a1 * l1 // t1
+        f2, f1 = a2 * (l2 + n2) // t2 - q2, a1 * (l1 + n1) // t1 - q1
+        return q2 + q1 + pos1 - s1, f2, f1, f2 + f1 + 1
+
+    def learn(self, seen: tuple, keys: np.ndarray, n: np.ndarray, known: np.ndarray, f1: np.ndarray, f2: np.ndarray, pos2: np.ndarray | None = None, hit2: np.ndarray | None = None) -> None:
+        """keys: sorted distinct (context, id) of order 2 with how often each came, n; the others in their order."""
+        t1, t2, k1, k2 = seen[3], seen[6], seen[7], seen[8]
+        told = t1 > 0
+        w = n * 65536.0
+        self.seen = self.seen * 0.9 + np.bincount(k1[told], w[told], 64)
+        lost = told & ~known
+        self.escaped = self.escaped * 0.9 + np.bincount(k1[lost], w[lost], 64)
+        use = known & (t2 > 0)
+        share = n[use] * ((65536 * f2[use]) // np.maximum(f2[use] + f1[use], 1))
+        self.asked = self.asked * 0.9 + np.bincount(k2[use], w[use], 64)
+        self.trust = self.trust * 0.9 + np.bincount(k2[use], share, 64)
+        x = keys & ((1 << ID_BITS) - 1)
+        self.two.add(keys, n, pos2, hit2)
+        one = seen[0] << ID_BITS | x
+        order = np.argsort(one)
+        one = one[order]
+        runs = _runs(one)
+        self.one.add(one[runs[:-1]], np.add.reduceat(n[order], runs[:-1]) if len(one) else n)
+        self.count += 24 * np.bincount(x, n, self.vocab).astype(np.int64)
         self._sum()
 
 
 def _layout(n: int, lanes: int) -> tuple[int, np.ndarray, np.ndarray]:
-    lanes = max(1, min(lanes, n // 64 or 1))
+    lanes = max(1, min(lanes, n // 256 or 1))
     lens = n // lanes + (np.arange(lanes) < n % lanes)
     return lanes, lens, np.cumsum(lens) - lens
 
 
-def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES, group: int = GROUP) -> bytes:
+def _groups(steps: int) -> Iterator[tuple[int, int]]:
+    t = 0
+    while t < steps:
+        end = min(steps, t + max(1, t // 6))
+        yield t, end
+        t = end
+
+
+def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
     ids = np.ascontiguousarray(ids, np.int32)
     n = len(ids)
     lanes, lens, first = _layout(n, lanes)
     model, steps = Model(vocab), int(lens.max()) if n else 0
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    words, pos = np.zeros((2 * steps + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
+    words, pos = np.zeros((4 * steps + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
     lane = np.arange(lanes)
     p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    for t in range(0, steps, group):
-        ks = [int((lens > t + k).sum()) for k in range(min(group, steps - t))]
+    for t, end in _groups(steps):
+        ks = [int((lens > t + k).sum()) for k in range(end - t)]
         xs = [ids[first[:m] + t + k] for k, m in enumerate(ks)]
         prev1 = [p1[: ks[0]], *[x[:m] for x, m in zip(xs, ks[1:])]]
         prev2 = [p2[: ks[0]], *[x[:m] for x, m in zip(prev1, ks[1:])]]
         x, q1, q2 = np.concatenate(xs), np.concatenate(prev1), np.concatenate(prev2)
-        seen = model.look(q1, q2)
-        g1, g2, agree, a, b = seen[1], seen[2], seen[5], seen[10], seen[11]
-        total, base = model.total, model.cum
-        h2, h1 = g2 == x, g1 == x
-        esc = ~h2 & ~h1
-        f = np.where(esc, (MASS - a - b) * model.count[x], np.where(h2, np.where(agree, a + b, a), b) * total)
-        c = np.where(esc, (a + b) * total + (MASS - a - b) * base[x], np.where(h2, 0, a) * total)
-        f, c, whole, at = f.astype(np.uint64), c.astype(np.uint64), np.uint64(MASS * total), 0
+        key = context_of(q1, q2) << ID_BITS | x
+        order = np.argsort(key)
+        key = key[order]
+        runs = _runs(key)
+        key, times = key[runs[:-1]], np.diff(runs)
+        # all that follows is the same for equal keys
+        ctx = key >> ID_BITS
+        by = _runs(ctx)
+        seen = tuple(np.repeat(z, np.diff(by)) for z in model.contexts(ctx[by[:-1]]))
+        y = key & ((1 << ID_BITS) - 1)
+        pos1, known = model.one.find(seen[0] << ID_BITS | y)
+        known &= seen[3] > 0
+        pos2, hit2 = model.two.find(key)
+        begin, f2, f1, size = model.interval(seen, pos1, pos2, hit2)
+        esc = seen[9]
+        f = np.where(known, size * model.total, model.count[y] * esc)
+        c = np.where(known, begin * model.total, (MASS - esc) * model.total + model.base[y] * esc)
+        own = np.empty(len(x), np.int64)
+        own[order] = np.repeat(np.arange(len(key)), times)
+        f, c = f[own], c[own]
+        f, c, whole, at = f.astype(np.uint64), c.astype(np.uint64), np.uint64(MASS * model.total), 0
         for m in ks:
             lo, rg = low[:m], rng[:m]
             r = rg // whole
@@ -127,11 +222,10 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES, group: int = G
             at += m
             while True:
                 same = (lo ^ (lo + rg)) < TOP
-                tight = ~same & (rg < BOT)
-                go = np.flatnonzero(same | tight)
+                go = np.flatnonzero(same | (rg < BOT))
                 if not len(go):
                     break
-                tight = np.flatnonzero(tight)
+                tight = go[~same[go]]
                 if len(tight):
                     rg[tight] = (np.uint64(0) - lo[tight]) & (BOT - np.uint64(1))
                 v = lo[go]
@@ -139,23 +233,24 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES, group: int = G
                 pos[go] += 1
                 lo[go] = v << U16
                 rg[go] <<= U16
-        model.learn(q1, seen, x)
+        model.learn(seen, key, times, known, f1, f2, pos2, hit2)
         m = ks[-1]
         p2[:m] = xs[-2][:m] if len(xs) > 1 else p1[:m]
         p1[:m] = xs[-1]
-    for _ in range(4):
-        words[pos, lane] = low >> U48
+    tail = ((low >> U40) + np.uint64(1)) << U40  # within the last range, which is wider than BOT
+    for _ in range(2):
+        words[pos, lane] = tail >> U48
         pos += 1
-        low <<= U16
+        tail <<= U16
     payload = pos.astype("<u4").tobytes() + b"".join(words[: pos[j], j].astype("<u2").tobytes() for j in range(lanes))
-    return HEAD.pack(MAGIC, n, vocab, lanes, group, zlib.crc32(ids.astype("<i4").tobytes()), zlib.crc32(payload)) + payload
+    return HEAD.pack(MAGIC, n, vocab, lanes, zlib.crc32(ids.astype("<i4").tobytes()), zlib.crc32(payload)) + payload
 
 
 def decode_block(blob: bytes) -> np.ndarray:
     """The ids of a block; ValueError where a checksum doesn't hold."""
     if len(blob) < HEAD.size:
         raise ValueError("a block is cut short")
-    magic, n, vocab, lanes, group, sum_ids, sum_payload = HEAD.unpack_from(blob)
+    magic, n, vocab, lanes, sum_ids, sum_payload = HEAD.unpack_from(blob)
     payload = blob[HEAD.size :]
     if magic != MAGIC or zlib.crc32(payload) != sum_payload:
         raise ValueError("a block's payload is damaged")
@@ -164,55 +259,74 @@ def decode_block(blob: bytes) -> np.ndarray:
     stream = np.frombuffer(payload, "<u2", offset=4 * lanes).astype(np.uint64)
     stream = np.concatenate([stream, np.zeros(8, np.uint64)])
     pos = np.cumsum(size) - size
+    ends = pos + size
+    take = lambda at, end: np.where(at < end, stream[np.minimum(at, len(stream) - 1)], np.uint64(0))
     code, low, rng = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     for _ in range(4):
-        code = (code << U16) | stream[pos]
+        code = (code << U16) | take(pos, ends)
         pos += 1
     ids, model = np.zeros(n, np.int32), Model(vocab)
     steps = int(lens.max()) if n else 0
     p1, p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    for t in range(0, steps, group):
-        xs, prev1, prev2, looks = [], [], [], []
-        total, base = model.total, model.cum
-        for k in range(min(group, steps - t)):
+    for t, end in _groups(steps):
+        kept = []
+        total = model.total
+        whole = np.uint64(MASS * total)
+        for k in range(end - t):
             m = int((lens > t + k).sum())
-            q1, q2 = p1[:m].copy(), p2[:m].copy()
-            seen = model.look(q1, q2)
-            g1, g2, agree, a, b = seen[1], seen[2], seen[5], seen[10], seen[11]
+            ctx = context_of(p1[:m], p2[:m])
+            seen = model.contexts(ctx)
+            s1, d1, esc = seen[1], seen[4], seen[9]
             lo, rg, cd = low[:m], rng[:m], code[:m]
-            r = rg // np.uint64(MASS * total)
-            v = np.minimum((cd - lo) // r, np.uint64(MASS * total - 1)).astype(np.int64)
-            unit = v // total
-            top, mid = np.where(agree, a + b, a), a + b
-            esc = unit >= mid
-            rest = MASS - mid
-            sym = np.searchsorted(base, np.where(esc, (v - mid * total) // rest, 0), "right") - 1
-            x = np.where(esc, sym, np.where(unit < top, g2, g1)).astype(np.int32)
-            h2 = ~esc & (unit < top)
-            f = np.where(esc, rest * model.count[x], np.where(h2, top, b) * total).astype(np.uint64)
-            c = np.where(esc, mid * total + rest * base[x], np.where(h2, 0, a) * total).astype(np.uint64)
-            lo += c * r
-            np.multiply(f, r, out=rg)
+            r = rg // whole
+            v = np.minimum((cd - lo) // r, whole - np.uint64(1)).astype(np.int64)
+            known = v < (MASS - esc) * total
+            x = np.zeros(m, np.int32)
+            f, c = np.zeros(m, np.int64), np.zeros(m, np.int64)
+            f1, f2 = np.zeros(m, np.int64), np.zeros(m, np.int64)
+            far = np.flatnonzero(~known)
+            if len(far):
+                x[far] = np.searchsorted(model.base, (v[far] - (MASS - esc[far]) * total) // esc[far], "right") - 1
+                f[far] = model.count[x[far]] * esc[far]
+                c[far] = (MASS - esc[far]) * total + model.base[x[far]] * esc[far]
+            at = np.flatnonzero(known)
+            if len(at):
+                own = tuple(z[at] for z in seen)
+                unit, a, b = v[at] // total, s1[at], s1[at] + d1[at]
+                while True:  # the last place that begins at or before the unit
+                    if not (b - a > 1).any():
+                        break
+                    mid = (a + b) >> 1
+                    y = model.one.keys[mid] & ((1 << ID_BITS) - 1)
+                    le = model.interval(own, mid, *model.two.find(ctx[at] << ID_BITS | y))[0] <= unit
+                    a, b = np.where(le, mid, a), np.where(le, b, mid)
+                y = model.one.keys[a] & ((1 << ID_BITS) - 1)
+                begin, f2[at], f1[at], wide = model.interval(own, a, *model.two.find(ctx[at] << ID_BITS | y))
+                x[at], c[at], f[at] = y, begin * total, wide * total
+            lo += c.astype(np.uint64) * r
+            np.multiply(f.astype(np.uint64), r, out=rg)
             while True:
                 same = (lo ^ (lo + rg)) < TOP
-                tight = ~same & (rg < BOT)
-                go = np.flatnonzero(same | tight)
+                go = np.flatnonzero(same | (rg < BOT))
                 if not len(go):
                     break
-                tight = np.flatnonzero(tight)
+                tight = go[~same[go]]
                 if len(tight):
                     rg[tight] = (np.uint64(0) - lo[tight]) & (BOT - np.uint64(1))
-                cd[go] = (cd[go] << U16) | stream[pos[go]]
+                cd[go] = (cd[go] << U16) | take(pos[go], ends[go])
                 pos[go] += 1
                 lo[go] <<= U16
                 rg[go] <<= U16
             ids[first[:m] + t + k] = x
             p2[:m] = p1[:m]
             p1[:m] = x
-            xs.append(x)
-            prev1.append(q1)
-            looks.append(seen)
-        model.learn(np.concatenate(prev1), tuple(np.concatenate(z) for z in zip(*[s[:10] for s in looks])), np.concatenate(xs))
+            kept.append((ctx << ID_BITS | x, known, f1, f2, *seen))
+        key, *rest = (np.concatenate(z) for z in zip(*kept))
+        order = np.argsort(key)
+        runs = _runs(key[order])
+        one = order[runs[:-1]]
+        known, f1, f2, *seen = (z[one] for z in rest)
+        model.learn(tuple(seen), key[one], np.diff(runs), known, f1, f2)
     if zlib.crc32(ids.astype("<i4").tobytes()) != sum_ids:
         raise ValueError("a block's ids are damaged")
     return ids
