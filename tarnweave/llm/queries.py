@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -29,7 +30,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.concat_ws("; ", "tags").alias("tags"), F.concat_ws("; ", "notices").alias("notices"), "expression", "permitted")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: What common.PUNCT trims, as a regular-expression class.
 _P = r"[!-/:-@\[-`{-~¡¿«»“”‘’…–—]+"
 
+#: Licence -> pattern over the text in lower case with single spaces; single-licence tags and the notices that SQL can tell.
+_NOTICES = {
+    "MIT": r"\bmit licen[sc]e\b|\bpermission is hereby granted, free of charge\b",
+    "Apache-2.0": r"\bapache licen[sc]e,? version 2\.0|\bapache licen[sc]e 2\.0",
+    **{f"GPL-{v}.0-{k}": rf"\bgnu general public licen[sc]e,? version {v}(\.0)?{tail}" for v in (1, 2, 3) for k, tail in (("or-later", ",? or (\\(at your option\\) )?(any )?later"), ("only", "(?:[^0-9.]|\\.[^0-9]|\\.?$)"))},
+    **{f"CC-BY{k}-{v}": rf"\bcc by{k.lower()} {v.replace('.', '[.]')}" for k in ("", "-NC", "-SA", "-ND", "-NC-SA", "-NC-ND") for v in ("3.0", "4.0")},
+    "LicenseRef-proprietary": r"\ball rights reserved\b",
+}
+_ALLOWED = ", ".join(f"'{x}'" for x in sorted(licenses.ALLOWED))
+
 ORACLE = {
+    "op5_licenses": rf"""
+        WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS raw, regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g') AS t FROM documents),
+        patterns(name, p) AS (VALUES {", ".join(f"('{n}', '{p}')" for n, p in _NOTICES.items())}),
+        hits AS (SELECT k, name, length(regexp_extract(t, '^(.*?)(' || p || ')', 1)) AS pos FROM texts, patterns WHERE regexp_matches(t, p)),
+        notes AS (SELECT k, list(name ORDER BY pos) AS n FROM hits GROUP BY k),
+        found AS (
+            SELECT k, doc_id, list_distinct(regexp_extract_all(raw, '(?i)spdx-license-identifier: *([A-Za-z0-9.+-]+)', 1)) AS tags, coalesce(n, []) AS n
+            FROM texts LEFT JOIN notes USING (k)),
+        told AS (SELECT *, CASE WHEN len(tags) > 0 OR len(n) > 1 THEN list_filter(n, lambda x: x <> 'LicenseRef-proprietary') ELSE n END AS kept FROM found)
+        SELECT doc_id, array_to_string(tags, '; ') AS tags, array_to_string(kept, '; ') AS notices,
+               CASE WHEN len(tags) + len(kept) > 0 THEN array_to_string(list_concat(tags, kept), ' AND ') END AS expression,
+               CASE WHEN len(tags) + len(kept) > 0 THEN len(list_filter(list_concat(tags, kept), lambda x: x NOT IN ({_ALLOWED}))) = 0 END AS permitted
+        FROM told""",
     "op9_near_duplicates": rf"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda x: regexp_replace(x, '^{_P}|{_P}$', '', 'g')), lambda x: x <> '') AS w

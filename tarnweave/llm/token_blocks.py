@@ -111,7 +111,7 @@ class Model:
         self.total = int(self.base[-1])
         self.at = np.concatenate([[0], np.cumsum(np.bincount(self.one.keys >> ID_BITS, minlength=self.vocab))])
         self.esc = np.clip(self.escaped / self.seen, 1 / 4096, 0.98)
-        self.mix = np.clip(self.trust / self.asked, 0.02, 0.98)
+        self.mix = np.clip(self.trust / self.asked, 0.01, 0.995)
 
     def contexts(self, c2: np.ndarray) -> tuple:
         """What the contexts tell before the next id is known: (last id, first place, counts before and in all, ids) of order 1, (counts before and in all) of order 2, classes, mass of the escape, of order 2 and of order 1."""
