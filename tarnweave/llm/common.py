@@ -24,20 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), one of our own."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own on a single machine; on a cluster, whose executors share no such folder, an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = tempfile.mkdtemp(prefix="tarnweave-")
         d = shared_dir.own
     return d.rstrip("/")
 
 
+def _path(df: DataFrame, path: str) -> tuple:
+    """(Hadoop path, its file system)."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage: written to the shared folder and read back, so a lost executor costs no recomputation."""
+    """Cut lineage: written to the shared folder and read back, so a lost executor costs no recomputation. What unsettle() leaves goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/settle-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    p, files = _path(df, path)
+    files.deleteOnExit(p)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._settled_at = path
     return out
@@ -47,9 +57,9 @@ def unsettle(df: DataFrame | None) -> None:
     """Delete a table of settle() of which nothing depends any more."""
     path = getattr(df, "_settled_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        p, files = _path(df, path)
+        files.delete(p, True)
+        files.cancelDeleteOnExit(p)
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
@@ -149,10 +159,11 @@ def owners(offs: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offs) - 1), np.diff(offs))
 
 
-def sample_labels(labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most `most` labelled ids, spread by a hash of the id; of contradicting labels of an id the largest holds; nulls go."""
-    one = pick(labels, id=id_col, y=label).dropna().groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    return one.orderBy(F.xxhash64("id"), "id").limit(most)
+def sample_labels(labels: DataFrame, label: str, most: int, docs: DataFrame, docs_id: str, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` labelled ids of those that docs has, spread by a hash of the id; of contradicting labels of an id the largest holds; nulls go."""
+    one = pick(labels, id=id_col, y=label).dropna().select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
+    have = pick(docs, id=docs_id).select(F.col("id").cast("long").alias("id"))
+    return one.join(have, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
 
 
 #: Up to so many ids (16 MB of longs) a list of ids goes to all executors; a longer one is joined by shuffling.

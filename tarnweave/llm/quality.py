@@ -105,8 +105,8 @@ def unpack_model(blob: bytes) -> dict[str, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A model of at most `most` labelled ids (a bounded sample, spread by hash). Fitted in one task; the driver gets some MB."""
-    ids = F.broadcast(sample_labels(labels, label, most))
-    src = pick(docs, id=id_col, text=text_col).join(ids, "id")
+    ids = F.broadcast(sample_labels(labels, label, most, docs, id_col))
+    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).join(ids, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +147,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(doc_id, score, good) for every document; good where score >= 0.5.
 
     Null, empty and wordless texts resemble nothing: score 0.5, good. With no labels every document is such.
-    Repeated rows give repeated results; null ids stay; nulls in the labels are ignored.
+    Repeated rows give repeated results; null ids stay; nulls in the labels are ignored. Texts are read whole, in
+    blocks of rows; a very long one is a block of its own. Of labelled neighbours of equal similarity at the edge of
+    the NEAREST any may vote, always the same for a model. Other columns are ignored; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most=most, id_col=id_col, text_col=text_col))
     scored = pick(docs, doc_id=id_col, text=text_col).select("doc_id", scorer(model)("text").alias("score"))
@@ -155,6 +157,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> DataFrame:
-    """The documents with all their columns that score_quality() calls good."""
+    """The documents with all their columns, whatever their names, that score_quality() calls good; its rules for nulls, ties and empties hold."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most=most, id_col=id_col, text_col=text_col))
     return docs.where(scorer(model)(docs[f"`{text_col}`"].cast("string")) >= 0.5)

@@ -127,8 +127,8 @@ def predict(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A model of at most `most` labelled ids (a bounded sample, spread by hash), fitted in one task."""
-    ids = F.broadcast(sample_labels(labels, label, most))
-    src = pick(docs, id=id_col, text=text_col).join(ids, "id")
+    ids = F.broadcast(sample_labels(labels, label, most, docs, id_col))
+    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).join(ids, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
