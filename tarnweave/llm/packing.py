@@ -13,17 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe_ids import RANKS, ids_of, load_ranks
-from .common import chunks, pick, plain
+from .common import chunks, pick, plain, settle
 
 CAPACITY, GROUP = 2048, 100_000
 SCHEMA = "pack_group int, bin int, doc_ids array<bigint>, starts array<bigint>, lens array<int>, used int"
 
 
 def token_counts(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size): tokens of each text; null and empty ones have 0."""
+    """(doc_id, size, salt): tokens of each text; null and empty ones have 0. salt is a hash of id and text."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,9 +30,10 @@ def token_counts(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id
             texts = plain(batch.column(1))
             for i, j in chunks(texts, 16 << 20):
                 _, offs = ids_of(ranks.value).batch(texts.slice(i, j - i), "counts")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs), pa.int64())], ["doc_id", "size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs), pa.int64()), batch.column(2).slice(i, j - i)], ["doc_id", "size", "salt"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType())]))
+    src = pick(docs, doc_id=id_col, text=text_col)
+    return src.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(run, "doc_id long, size long, salt long")
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -68,7 +68,7 @@ def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
 
 def pack_group(table: pa.Table, capacity: int) -> pa.Table:
     """Bins of one group. Items come in the order of (doc_id, size, start); null ids last."""
-    docs = sorted(zip(table["doc_id"].to_pylist(), table["size"].to_pylist()), key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    docs = zip(table["doc_id"].to_pylist(), table["size"].to_pylist())
     items = [(d, start, min(capacity, size - start)) for d, size in docs for start in range(0, size, capacity)]
     bins: dict[int, list[int]] = {}
     for item, b in enumerate(sum_of_squares([n for _, _, n in items], capacity)):
@@ -87,12 +87,37 @@ def pack_group(table: pa.Table, capacity: int) -> pa.Table:
     )
 
 
+def _pack(capacity: int, most: int):
+    """Groups come one after another; a group is packed as soon as it ends, or at `most` documents, so that no group is held whatever its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        at, rows = None, 0
+        for batch in batches:
+            group = np.asarray(batch.column(0))
+            edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+            for i, j in zip(edges[:-1], edges[1:]):
+                while i < j:
+                    if held and (group[i] != at or rows == most):
+                        yield from pack_group(pa.concat_tables(held), capacity).to_batches()
+                        held, rows = [], 0
+                    at, n = group[i], min(j - i, most - rows if held and group[i] == at else most)
+                    held.append(pa.Table.from_batches([batch.slice(i, n)]))
+                    rows += n
+                    i += n
+        if held:
+            yield from pack_group(pa.concat_tables(held), capacity).to_batches()
+
+    return run
+
+
 def pack_sizes(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Pack (doc_id, size) rows. Documents are dealt by a hash of their id to groups of about `group`, and each
-    group is packed alone, so at most a few open sequences a group are wasted; only ids and sizes are shuffled."""
+    """Pack (doc_id, size, salt) rows. Documents are dealt by salt to groups of about `group`, and each group is packed
+    alone, so at most a few open sequences a group are wasted; only ids and sizes are shuffled."""
     groups = max(1, -(-n_docs // group))
-    dealt = sizes.where(F.col("size") > 0).withColumn("pack_group", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(groups)).cast("int"))
-    return dealt.groupBy("pack_group").applyInArrow(lambda table: pack_group(table, capacity), SCHEMA)
+    dealt = sizes.where(F.col("size") > 0).select(F.pmod(F.xxhash64("salt"), F.lit(groups)).cast("int").alias("pack_group"), "doc_id", "size")
+    # an explicit number of partitions: tiny as the rows are, groups should not be put together into one task
+    return dealt.repartition(2 * groups, "pack_group").sortWithinPartitions("pack_group", F.col("doc_id").asc_nulls_last(), "size").mapInArrow(_pack(capacity, 4 * group), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +125,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     many tokens it has, and their sum.
 
     A document longer than the capacity is cut into full pieces and a rest. Null and empty texts have no
-    tokens and appear nowhere. Repeated rows are packed once each; a null id is packed as a null in doc_ids.
-    An empty table gives no sequences.
+    tokens and appear nowhere. Repeated rows are packed once each; a null id is packed as a null in doc_ids, and
+    rows of one id or of none are spread over the groups by their texts. Equal sums of squares: see sum_of_squares().
+    Ids of any integer type come out as longs; other columns are ignored, whatever their names. An empty table gives
+    no sequences. Texts are tokenized whole and once; ids and sizes are kept as a table in the shared folder.
     """
-    return pack_sizes(token_counts(docs, ranks_path, id_col, text_col), docs.count(), capacity, group)
+    sizes = settle(token_counts(docs, ranks_path, id_col, text_col))
+    return pack_sizes(sizes, sizes.where("size > 0").count(), capacity, group)
