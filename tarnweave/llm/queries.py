@@ -39,7 +39,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.similar_pairs(table(spark, sf_dir, "embeddings")).select("a", "b")
+    return embed_dedup.similar_counts(table(spark, sf_dir, "embeddings"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.fold_chats(chat.turns_as_events(table(spark, sf_dir, "conversations")))
+    return chat.fold_chats(chat.revised_events(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -100,15 +100,29 @@ ORACLE = {
         reach(id, top) AS (SELECT DISTINCT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.top FROM reach r JOIN edges e ON e.a = r.id WHERE r.top < e.b)
         SELECT id AS doc_id, min(top) AS group_id FROM reach GROUP BY id""",
     "op7_embedding_pairs": """
-        SELECT x.vec_id AS a, y.vec_id AS b
-        FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-        WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.95""",
+        WITH sized AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS size FROM embeddings),
+        coded AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(round(x / size * 32767) AS INTEGER)) AS code FROM sized WHERE size > 0),
+        classes AS (SELECT code, min(vec_id) AS class_id, arg_min(embedding, vec_id) AS e FROM coded GROUP BY code),
+        links AS (
+            SELECT x.class_id, count(*) AS links FROM classes x JOIN classes y ON x.class_id <> y.class_id
+            WHERE list_cosine_similarity(x.e, y.e) >= 0.95 GROUP BY 1)
+        SELECT vec_id, class_id, coalesce(links, 0) AS links FROM coded JOIN classes USING (code) LEFT JOIN links USING (class_id)""",
     "op10_chat": """
-        SELECT conv_id, CAST(count(*) AS INTEGER) AS n_messages,
-               CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER) AS n_user,
-               CAST(count(*) FILTER (WHERE role = 'assistant') AS INTEGER) AS n_assistant,
-               string_agg('<|im_start|>' || role || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
-        FROM conversations GROUP BY conv_id""",
+        WITH numbered AS (
+            SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS m
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        told AS (SELECT *, max(m) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS top FROM numbered),
+        final AS (
+            SELECT conv_id, m, role,
+                   CASE WHEN conv_id % 7 = 3 AND m = 2 THEN text || ' (edited)' WHEN conv_id % 7 = 5 AND m = top THEN 'Again: ' || text ELSE text END AS text,
+                   NOT (conv_id % 7 = 1 AND m % 6 = 4 OR conv_id % 7 = 3 AND m > 2 OR conv_id % 7 = 5 AND top IS NOT NULL AND m > top) AS stays
+            FROM told)
+        SELECT conv_id, CAST(count(*) FILTER (WHERE stays) AS INTEGER) AS n_messages,
+               CAST(count(*) FILTER (WHERE stays AND role = 'user') AS INTEGER) AS n_user,
+               CAST(count(*) FILTER (WHERE stays AND role = 'assistant') AS INTEGER) AS n_assistant,
+               coalesce(string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY m) FILTER (WHERE stays), '') AS rendered
+        FROM final GROUP BY conv_id""",
 }
 
 

@@ -295,6 +295,25 @@ def test_packing_keeps_large_ids_beside_nulls(spark):
     assert {d for r in rows for d in r.doc_ids} == {big, big + 1, None}
 
 
+def test_hot_ids_spread(spark):
+    """A third of the rows without an id, a third with one and the same: they fill several groups, and all are packed."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"w{i} " * (1 + i % 9)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = packing.pack_documents(docs, capacity=64, group=200).collect()
+    assert len({r.pack_group for r in got if None in r.doc_ids}) > 8 < len({r.pack_group for r in got if 7 in r.doc_ids})
+    ids = [d for r in got for d, s in zip(r.doc_ids, r.starts) if s == 0]
+    assert len(ids) == 3000 and ids.count(None) == 1000 == ids.count(7)
+    assert all(r.used == sum(r.lens) <= 64 for r in got)
+
+
+def test_groups_are_cut_when_too_large():
+    """However large a group, no more than the limit is held; nothing is lost at the cuts or between batches."""
+    table = pa.table({"pack_group": pa.array([0] * 90 + [1] * 7, pa.int32()), "doc_id": pa.array(range(97), pa.int64()), "size": pa.array([5] * 97, pa.int64())})
+    out = pa.Table.from_batches(list(packing._pack(10, 20)(iter(table.to_batches(max_chunksize=13)))))
+    assert sorted(d for x in out["doc_ids"].to_pylist() for d in x) == list(range(97))
+    assert out["used"].to_pylist().count(10) == 40 + 5 + 3
+
+
 # -- 5
 
 
@@ -508,18 +527,49 @@ def test_similar_pairs_against_brute_force(spark):
     got = {(r.a, r.b) for r in embed_dedup.similar_pairs(df).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
-    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.95)) if i < j}
+    first = {}
+    cls = [first.setdefault(v.tobytes(), i) for i, v in enumerate(x)]
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.95)) if i < j and cls[i] == i and cls[j] == j}
     assert not {p for p in got ^ want if abs(s[p] - 0.95) > 1e-3} and len(want) > 1800
+    counts = {r.vec_id: (r.class_id, r.links) for r in embed_dedup.similar_counts(df).collect()}
+    links = np.bincount([i for p in got for i in p], minlength=1200)
+    assert counts == {i: (cls[i], links[cls[i]]) for i in range(1200)}
     kept = {r.vec_id for r in embed_dedup.drop_similar(df).select("vec_id").collect()}
     assert 500 in kept and not kept & set(range(501, 560)) and 0 in kept and 2 not in kept and 3 in kept
 
 
+def test_crowded_cells_lose_no_pair(spark, monkeypatch):
+    """A third of all vectors within a narrow cone: cells stay crowded over several rounds."""
+    monkeypatch.setattr(embed_dedup, "CROWD", 100)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 32))
+    x[:500] = x[0] + 0.45 * rng.standard_normal((500, 32))
+    for k in range(0, 500, 5):
+        x[k + 1] = x[k] + 0.1 * rng.standard_normal(32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>")
+    got = {(r.a, r.b) for r in embed_dedup.similar_pairs(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= 0.9505)) if i < j}
+    assert len(want) >= 100 and len(want - got) <= 0.005 * len(want) and all(s[p] > 0.949 for p in got)
+
+
+def test_samplings_follow_the_width():
+    """The chance to share no sampling stays below MISS whatever the width."""
+    for width in (1, 6, 10, 20, 30):
+        t = embed_dedup.samplings(width, 0.95)
+        assert (1 - 0.8989**width) ** t < 1.1 * embed_dedup.MISS
+    assert embed_dedup.samplings(10, 1.0) == 1
+
+
 def test_similar_pairs_edges(spark):
-    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (None, [1.0, 0.0]), (3, [1.0]), (4, [0.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [(r.a, r.b) for r in embed_dedup.similar_pairs(df).collect()] == [(0, 1)]
-    assert embed_dedup.similar_pairs(df.limit(0)).count() == 0
-    assert embed_dedup.drop_similar(df).count() == 6
+    rows = [(0, [1.0, 0.0], "p"), (0, [1.0, 0.0], "p"), (1, [2.0, 0.0], "q"), (2, None, "r"), (None, [1.0, 0.0], "s"), (3, [1.0], "t"), (4, [0.0, 0.0], "u"), (5, [1.0, 0.01], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, class string").withColumnsRenamed({"class": "a"}).withColumns({c: F.lit(1) for c in ("b", "x", "links", "id", "v")})
+    assert [(r.a, r.b) for r in embed_dedup.similar_pairs(df).collect()] == [(0, 5)]
+    assert {(r.vec_id, r.class_id, r.links) for r in embed_dedup.similar_counts(df).collect()} == {(0, 0, 1), (1, 0, 1), (5, 5, 1)}
+    assert embed_dedup.similar_pairs(df.limit(0)).count() == 0 == embed_dedup.similar_counts(df.limit(0)).count()
+    kept = embed_dedup.drop_similar(df)
+    assert kept.count() == 6 and kept.columns == df.columns and embed_dedup.drop_similar(df.limit(0)).count() == 0
 
 
 # -- 9
@@ -644,3 +694,24 @@ def test_turns_round_trip(spark):
     for r in c.orderBy("conv_id", "turn").collect():
         turns.setdefault(r.conv_id, []).append((r.role, r.text))
     assert got == {k: chat.render(v) for k, v in turns.items()}
+
+
+def test_turns_that_share_a_number(spark):
+    """Rows of one turn, and equal rows, stay messages of their own; turns may be any integers; other columns don't matter."""
+    rows = [(1, 3000, "user", "b", 1), (1, 3000, "user", "a", 2), (1, 3000, "assistant", "x\ny\n", 3), (1, 3000, "assistant", "x\ny\n", 3), (1, None, "user", "lost", 4), (None, 1, "user", "lost", 5), (1, -5, None, None, 6), (2, 2147483647, "assistant", "", 7)]
+    c = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, seq int").withColumns({k: F.lit("z") for k in ("kind", "message_id", "m", "n")})
+    want = {1: chat.render([("user", ""), ("assistant", "x\ny\n"), ("assistant", "x\ny\n"), ("user", "a"), ("user", "b")]), 2: chat.render([("assistant", "")])}
+    assert {r.conv_id: r.rendered for r in chat.fold_chats(chat.turns_as_events(c)).collect()} == want
+    assert chat.turns_as_events(c.limit(0)).count() == 0 == chat.revised_events(c.limit(0)).count()
+    assert {r.kind for r in chat.revised_events(common.table(spark, SMALL, "conversations")).select("kind").distinct().collect()} >= {"message", "delta", "edit", "regenerate", "delete"}
+
+
+def test_revisions_fold_as_stated(spark):
+    text = "word " * 25_000
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{t}\n{text if t == 1 else ''}") for c in (0, 1, 3, 5) for t in range(7)]
+    got = {r.conv_id: r.rendered for r in chat.fold_chats(chat.revised_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    msgs = {c: [(r[2], r[3]) for r in rows if r[0] == c] for c in (0, 1, 3, 5)}
+    assert got[0] == chat.render(msgs[0])
+    assert got[1] == chat.render([m for i, m in enumerate(msgs[1], 1) if i % 6 != 4])
+    assert got[3] == chat.render([msgs[3][0], ("assistant", msgs[3][1][1] + " (edited)")])
+    assert got[5] == chat.render([*msgs[5][:5], ("assistant", "Again: " + msgs[5][5][1])])
