@@ -41,17 +41,15 @@ U16, U40, U48 = np.uint64(16), np.uint64(40), np.uint64(48)
 
 
 class Counts:
-    """Counts of (context, id) as sorted keys with running sums."""
+    """Counts of (context, id) as sorted keys, the last one a sentinel, with running sums."""
 
     def __init__(self):
-        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.n = np.full(1, np.iinfo(np.int64).max), np.zeros(1, np.int32)
         self._sum()
 
     def _sum(self) -> None:
         self.cum = np.zeros(len(self.n) + 1, np.int32)
         np.cumsum(self.n, out=self.cum[1:])
-        self.padded = np.append(self.keys, np.int64(-1))
-        self.padded_n = np.append(self.n, np.int32(0))
 
     def add(self, keys: np.ndarray, n: np.ndarray, pos: np.ndarray | None = None, known: np.ndarray | None = None) -> None:
         """keys: sorted and distinct; pos, known: their find(), where it is known."""
@@ -71,7 +69,7 @@ class Counts:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it holds the key)."""
         pos = np.searchsorted(self.keys, keys)
-        return pos, self.padded[pos] == keys
+        return pos, self.keys[pos] == keys
 
 
 def _log2(n: np.ndarray) -> np.ndarray:
@@ -86,6 +84,16 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
 
 
+def grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, sums of n, the place of each key among them)."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    runs = _runs(sorted_)
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.repeat(np.arange(len(runs) - 1, dtype=np.int32), np.diff(runs))
+    return sorted_[runs[:-1]], np.add.reduceat(n[order], runs[:-1]) if len(keys) else n, where
+
+
 def context_of(p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     """The last id and 12 bits of the one before."""
     return p1.astype(np.int64) << HASH_BITS | ((p2.astype(np.int64) * 0x9E3779B1) >> 15) & ((1 << HASH_BITS) - 1)
@@ -109,12 +117,12 @@ class Model:
             self.count = (self.count + 1) >> 1
         self.base = np.concatenate([[0], np.cumsum(self.count)])
         self.total = int(self.base[-1])
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.one.keys >> ID_BITS, minlength=self.vocab))])
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.one.keys[:-1] >> ID_BITS, minlength=self.vocab))])
         self.esc = np.clip(self.escaped / self.seen, 1 / 4096, 0.98)
         self.mix = np.clip(self.trust / self.asked, 0.01, 0.995)
 
     def contexts(self, c2: np.ndarray) -> tuple:
-        """What the contexts tell before the next id is known: (last id, first place, counts before and in all, ids) of order 1, (counts before and in all) of order 2, classes, mass of the escape, of order 2 and of order 1."""
+        """What the contexts tell before the next id is known: (first place, counts before and in all, ids) of order 1, (counts before and in all) of order 2, classes, mass of the escape, of order 2 and of order 1."""
         p1 = c2 >> HASH_BITS
         s1, e1 = self.at[p1], self.at[p1 + 1]
         b1 = self.one.cum[s1]
@@ -129,21 +137,21 @@ class Model:
         esc = np.where(t1 > 0, (self.esc[k1] * (MASS - d1)).astype(np.int64) + 1, MASS)
         rest = np.maximum(MASS - esc - d1, 0)
         a2 = np.where(t2 > 0, (rest * self.mix[k2]).astype(np.int64), 0)
-        return p1, s1, b1, t1, d1, b2, t2, k1, k2, esc, a2, rest - a2
+        return s1, b1, t1, d1, b2, t2, k1, k2, esc, a2, rest - a2
 
     def interval(self, seen: tuple, pos1: np.ndarray, pos2: np.ndarray, hit2: np.ndarray) -> tuple:
         """(begin, parts of orders 2 and 1, size) of the ids at places pos1 of order 1 and, where hit2, pos2 of order 2."""
-        _, s1, b1, t1, _, b2, t2, _, _, _, a2, a1 = seen
+        s1, b1, t1, _, b2, t2, _, _, _, a2, a1 = seen
         t1, t2 = np.maximum(t1, 1), np.maximum(t2, 1)
         l1, l2 = self.one.cum[pos1] - b1, self.two.cum[pos2] - b2
-        n1, n2 = self.one.padded_n[pos1], self.two.padded_n[pos2] * hit2
+        n1, n2 = self.one.n[pos1], self.two.n[pos2] * hit2
         q2, q1 = a2 * l2 // t2, a1 * l1 // t1
         f2, f1 = a2 * (l2 + n2) // t2 - q2, a1 * (l1 + n1) // t1 - q1
         return q2 + q1 + pos1 - s1, f2, f1, f2 + f1 + 1
 
-    def learn(self, seen: tuple, keys: np.ndarray, n: np.ndarray, known: np.ndarray, f1: np.ndarray, f2: np.ndarray, pos2: np.ndarray | None = None, hit2: np.ndarray | None = None) -> None:
-        """keys: sorted distinct (context, id) of order 2 with how often each came, n; the others in their order."""
-        t1, t2, k1, k2 = seen[3], seen[6], seen[7], seen[8]
+    def learn(self, seen: tuple, keys: np.ndarray, n: np.ndarray, known: np.ndarray, f1: np.ndarray, f2: np.ndarray, found: tuple = (), one: tuple | None = None) -> None:
+        """keys: sorted distinct (context, id) of order 2 with how often each came, n; the others in their order. found and one: what find() and grouped() say, where it is known."""
+        t1, t2, k1, k2 = seen[2], seen[5], seen[6], seen[7]
         told = t1 > 0
         w = n * 65536.0
         self.seen = self.seen * 0.9 + np.bincount(k1[told], w[told], 64)
@@ -154,12 +162,8 @@ class Model:
         self.asked = self.asked * 0.9 + np.bincount(k2[use], w[use], 64)
         self.trust = self.trust * 0.9 + np.bincount(k2[use], share, 64)
         x = keys & ((1 << ID_BITS) - 1)
-        self.two.add(keys, n, pos2, hit2)
-        one = seen[0] << ID_BITS | x
-        order = np.argsort(one)
-        one = one[order]
-        runs = _runs(one)
-        self.one.add(one[runs[:-1]], np.add.reduceat(n[order], runs[:-1]) if len(one) else n)
+        self.two.add(keys, n, *found)
+        self.one.add(*(one or grouped(keys >> ID_BITS + HASH_BITS << ID_BITS | x, n)[:2]))
         self.count += 24 * np.bincount(x, n, self.vocab).astype(np.int64)
         self._sum()
 
@@ -203,11 +207,12 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
         by = _runs(ctx)
         seen = tuple(np.repeat(z, np.diff(by)) for z in model.contexts(ctx[by[:-1]]))
         y = key & ((1 << ID_BITS) - 1)
-        pos1, known = model.one.find(seen[0] << ID_BITS | y)
-        known &= seen[3] > 0
+        one = grouped(key >> ID_BITS + HASH_BITS << ID_BITS | y, times)
+        at1, hit1 = model.one.find(one[0])
+        pos1, known = at1[one[2]], hit1[one[2]] & (seen[2] > 0)
         pos2, hit2 = model.two.find(key)
         begin, f2, f1, size = model.interval(seen, pos1, pos2, hit2)
-        esc = seen[9]
+        esc = seen[8]
         f = np.where(known, size * model.total, model.count[y] * esc)
         c = np.where(known, begin * model.total, (MASS - esc) * model.total + model.base[y] * esc)
         own = np.empty(len(x), np.int64)
@@ -220,20 +225,19 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
             lo += c[at : at + m] * r
             np.multiply(f[at : at + m], r, out=rg)
             at += m
-            while True:
-                same = (lo ^ (lo + rg)) < TOP
-                go = np.flatnonzero(same | (rg < BOT))
-                if not len(go):
-                    break
-                tight = go[~same[go]]
+            go = np.flatnonzero(((lo ^ (lo + rg)) < TOP) | (rg < BOT))
+            while len(go):
+                v, w = lo[go], rg[go]
+                tight = np.flatnonzero((v ^ (v + w)) >= TOP)
                 if len(tight):
-                    rg[tight] = (np.uint64(0) - lo[tight]) & (BOT - np.uint64(1))
-                v = lo[go]
+                    w[tight] = (np.uint64(0) - v[tight]) & (BOT - np.uint64(1))
                 words[pos[go], go] = v >> U48
                 pos[go] += 1
-                lo[go] = v << U16
-                rg[go] <<= U16
-        model.learn(seen, key, times, known, f1, f2, pos2, hit2)
+                v <<= U16
+                w <<= U16
+                lo[go], rg[go] = v, w
+                go = go[((v ^ (v + w)) < TOP) | (w < BOT)]
+        model.learn(seen, key, times, known, f1, f2, (pos2, hit2), (*one[:2], at1, hit1))
         m = ks[-1]
         p2[:m] = xs[-2][:m] if len(xs) > 1 else p1[:m]
         p1[:m] = xs[-1]
@@ -276,7 +280,7 @@ def decode_block(blob: bytes) -> np.ndarray:
             m = int((lens > t + k).sum())
             ctx = context_of(p1[:m], p2[:m])
             seen = model.contexts(ctx)
-            s1, d1, esc = seen[1], seen[4], seen[9]
+            s1, d1, esc = seen[0], seen[3], seen[8]
             lo, rg, cd = low[:m], rng[:m], code[:m]
             r = rg // whole
             v = np.minimum((cd - lo) // r, whole - np.uint64(1)).astype(np.int64)
@@ -305,18 +309,18 @@ def decode_block(blob: bytes) -> np.ndarray:
                 x[at], c[at], f[at] = y, begin * total, wide * total
             lo += c.astype(np.uint64) * r
             np.multiply(f.astype(np.uint64), r, out=rg)
-            while True:
-                same = (lo ^ (lo + rg)) < TOP
-                go = np.flatnonzero(same | (rg < BOT))
-                if not len(go):
-                    break
-                tight = go[~same[go]]
+            go = np.flatnonzero(((lo ^ (lo + rg)) < TOP) | (rg < BOT))
+            while len(go):
+                v, w = lo[go], rg[go]
+                tight = np.flatnonzero((v ^ (v + w)) >= TOP)
                 if len(tight):
-                    rg[tight] = (np.uint64(0) - lo[tight]) & (BOT - np.uint64(1))
+                    w[tight] = (np.uint64(0) - v[tight]) & (BOT - np.uint64(1))
                 cd[go] = (cd[go] << U16) | take(pos[go], ends[go])
                 pos[go] += 1
-                lo[go] <<= U16
-                rg[go] <<= U16
+                v <<= U16
+                w <<= U16
+                lo[go], rg[go] = v, w
+                go = go[((v ^ (v + w)) < TOP) | (w < BOT)]
             ids[first[:m] + t + k] = x
             p2[:m] = p1[:m]
             p1[:m] = x
