@@ -610,15 +610,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i, g in got.items() if i == g}
 
 
-def test_all_pairs_of_crowded_regions_are_candidates():
-    """200 documents with the same first minima, in two batches; the two alike are far apart in the order."""
+@pytest.mark.parametrize("size", [1, 7, 13, 60])
+def test_cells_are_compared_across_batches(size):
+    """All pairs of a cell, however batches cut it; with a shorter reach, all pairs that are so near in the order."""
     rng = np.random.default_rng(1)
-    sketch = rng.integers(0, 256, (200, minhash.TREES * minhash.DEPTH), np.uint8)
-    sketch[190] = sketch[5]
-    keys = [b"\0" * (2 * minhash.SHALLOW) + i.to_bytes(2 * (minhash.DEPTH - minhash.SHALLOW), "big") for i in range(200)]
-    rows = pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int32()), pa.array(keys), pa.array(range(200), pa.int64()), pa.array([r.tobytes() for r in sketch])], ["tree", "key", "doc", "sketch"])
-    got = [p for b in minhash._neighbours(0.3)(iter([rows.slice(0, 120), rows.slice(120)])) for p in b.to_pylist()]
-    assert got == [{"a": 5, "b": 190, "est": 1.0}]
+    sketch = rng.integers(0, 3, (60, minhash.TREES * minhash.DEPTH), np.uint8)
+    cell = np.repeat([4, 9, 2, 7], [20, 1, 30, 9])
+    rows = pa.RecordBatch.from_arrays([pa.array(cell), pa.array(range(60), pa.int64()), pa.array([r.tobytes() for r in sketch])], ["cell", "doc", "sketch"])
+    for reach in (64, 5):
+        got = {(p["a"], p["b"]) for b in minhash._scan(0.35, reach)(iter([rows.slice(i, size) for i in range(0, 60, size)])) for p in b.to_pylist() if p["a"] != p["b"]}
+        assert got == {(i, j) for i in range(60) for j in range(i + 1, min(60, i + reach + 1)) if cell[i] == cell[j] and (sketch[i] == sketch[j]).mean() >= 0.35}
 
 
 def test_near_duplicate_edges(spark):
@@ -639,6 +640,37 @@ def test_components(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_crowded_regions_lose_no_pairs(spark):
+    """A third of the rows share a passage, pairs of them some more; another sixth are near copies of one text."""
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 200_000, n)]
+    passage, base = some(62), some(100)
+    docs, partners = [], []
+    while len(docs) < 2000:
+        own = some(38)
+        docs.append(passage + own)
+        if len(docs) % 5 == 0:
+            k = int(rng.integers(10, 18))
+            partners.append((len(docs) - 1, len(docs)))
+            docs.append(passage + own[:k] + some(38 - k))
+    crowd = len(docs)
+    for _ in range(1000):
+        t = list(base)
+        for _ in range(3):
+            t[int(rng.integers(0, 100))] = f"x{rng.integers(0, 10**9)}"
+        docs.append(t)
+    copies = len(docs)
+    docs += [some(60) for _ in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id int, text string").repartition(4)
+    g = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+    triples = lambda t: set(zip(t, t[1:], t[2:]))
+    near = [(a, b) for a, b in partners if len(x := triples(docs[a]) & triples(docs[b])) / len(triples(docs[a]) | triples(docs[b])) >= 0.5 and x]
+    assert len(near) > 150 and np.mean([g[a] == g[b] for a, b in near]) > 0.97
+    assert all(g[a] == a or (a - 1, a) in partners for a in range(crowd))
+    assert len({g[i] for i in range(crowd, copies)}) == 1
+    assert all(g[i] == i for i in range(copies, len(docs)))
+
+
 # -- 10
 
 
