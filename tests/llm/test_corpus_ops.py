@@ -441,6 +441,67 @@ def test_factorisation_machine_learns_pairs():
     assert np.mean(got == (np.array(y) > 0)) > 0.98
 
 
+def _coins(n, make, seed=1):
+    """Texts of common words, and of words 1 and 2 or more as `make` says, which also labels them."""
+    rng = np.random.default_rng(seed)
+    texts, y = [], []
+    for _ in range(n):
+        own, label = make(rng)
+        texts.append(" ".join(f"w{x}" for x in [*(rng.zipf(1.3, 30) % 2000 + 10), *own]))
+        y.append(float(label))
+    return pa.array(texts), np.array(y)
+
+
+def _held_out(texts, y):
+    """(hits, labels) on the last quarter, fitted on the rest."""
+    head = len(y) * 3 // 4
+    model = toxicity.fit(*toxicity.doc_terms(texts.slice(0, head)), y[:head])
+    return toxicity.predict(model, texts.slice(head)) >= model["cut"][0], y[head:] > 0
+
+
+def test_interaction_without_marginal_effect():
+    """Toxic is exactly one of two words, neither of which tells anything alone."""
+
+    def make(rng):
+        a, b = rng.random(2) < 0.5
+        return [k for k, x in ((1, a), (2, b)) if x], a != b
+
+    got, want = _held_out(*_coins(6000, make))
+    assert np.mean(got == want) > 0.99
+
+
+def test_rare_pair_beside_many_insults():
+    """One toxic text in twenty has no insult but two words together that are harmless, and common, alone."""
+
+    def make(rng):
+        a, b = rng.random(2) < 0.1
+        own = [1] if a else [2] if b else []
+        if rng.random() >= 0.1:
+            return own, False
+        return ([1, 2], True) if rng.random() < 0.05 else ([*own, int(rng.integers(3, 6))], True)
+
+    texts, y = _coins(16_000, make)
+    got, want = _held_out(texts, y)
+    both = np.array([{"w1", "w2"} <= set(t.split()) for t in texts.slice(len(y) * 3 // 4).to_pylist()])
+    assert both.sum() >= 10 and got[both].all() and np.mean(got[want]) > 0.99 and np.mean(got[~want]) < 0.001
+
+
+def test_tied_pairs_against_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.random((900, 12)) < 0.3
+    y = ((x[:, 0] & x[:, 1]) | (rng.random(900) < 0.1) & ~(x[:, 2] & x[:, 3])).astype(float)
+    rows, slots = np.nonzero(x)
+    want = set()
+    for i, j in itertools.combinations(range(12), 2):
+        both = x[:, i] & x[:, j]
+        c, a = both.sum(), y[both].sum()
+        for sign, alone in ((1, max(y[x[:, i]].mean(), y[x[:, j]].mean())), (-1, min(y[x[:, i]].mean(), y[x[:, j]].mean()))):
+            logs = sum(k * np.log(k / c / r) for k, r in ((a, alone), (c - a, 1 - alone)) if k)
+            if (a / c - alone) * sign > 0 and logs >= toxicity.EVIDENCE and (sign < 0 or a >= toxicity.LEAST_PAIR):
+                want.add((i, j, sign))
+    assert set(toxicity.tied_pairs(rows, slots, y)) == want and (0, 1, 1) in want
+
+
 def test_forward_is_the_pairwise_sum():
     rng = np.random.default_rng(0)
     model = {"w": rng.normal(size=6), "v": rng.normal(size=(6, 3)), "b": np.array([0.3])}
@@ -469,8 +530,8 @@ def test_classifiers_on_held_out_rows(spark, labelled, which):
     rows = out.join(labels.where("doc_id % 4 = 0"), "doc_id").select(which, "got").collect()
     for v in (0, 1):
         own = [r.got == v for r in rows if r[0] == v]
-        # some insults of the smaller languages occur in no training row of this small table
-        assert np.mean(own) > (0.75 if (which, v) == ("toxic", 1) else 0.97 if v else 0.93), (which, v, len(own), np.mean(own))
+        # one in seven toxic labels of this table is on a text without any word that toxic texts share, such as a row of syllables with bars
+        assert np.mean(own) > (0.83 if (which, v) == ("toxic", 1) else 0.97 if v else 0.98 if which == "toxic" else 0.93), (which, v, len(own), np.mean(own))
 
 
 @pytest.mark.parametrize("score, keep", [(quality.score_quality, quality.keep_quality), (toxicity.score_toxicity, toxicity.drop_toxic)])
