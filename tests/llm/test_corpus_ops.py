@@ -209,6 +209,31 @@ def test_nearest_neighbours_edges(spark):
     assert one == {0: []}
 
 
+def test_every_nth_vector_asks_all(spark):
+    """Hubs, copies and a narrow cone among the vectors, ids of 32 bits; brute force over all vectors."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 32)).astype(np.float32)
+    x[:1300] = x[0] + 0.5 * rng.standard_normal((1300, 32))
+    x[2000:2300] = x[2000]
+    df = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "vec_id int, embedding array<float>, q int").withColumns({c: F.lit(0) for c in ("u", "b", "blk", "s", "fresh")})
+    got = {r.vec_id: r.neighbours for r in ann.nearest_neighbours(df, every=50).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    assert sorted(got) == list(range(0, 4000, 50)) and all(len(set(v)) == 10 for v in got.values())
+    assert np.mean([np.mean(s[i, v] >= np.sort(s[i])[-10] - 2e-4) for i, v in got.items()]) > 0.95
+
+
+def test_blocks_are_bounded(spark):
+    """However the vectors lie, no block is much larger than asked for."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((1500, 8)) + 0.01 * rng.standard_normal((1500, 8)), rng.standard_normal((1500, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vecs = common.settle(ann.unit_codes(df, "vec_id", "embedding"))
+    sizes = [r["count"] for r in ann._blocks(vecs, 3000, 8, 200).groupBy("blk").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 280
+
+
 def test_outside_queries(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 12)).astype(np.float32)
@@ -224,8 +249,8 @@ def test_search_goes_on_until_beams_are_exhausted(spark):
     """A chain where each node links to the next: the answer is 12 steps away."""
     a = np.linspace(0, 1.5, 13)
     df = spark.createDataFrame([(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(a)], "vec_id long, embedding array<float>")
-    vecs = ann.unit_codes(df, "vec_id", "embedding").localCheckpoint()
-    links = spark.createDataFrame([(i, [(1.0, i + 1, False)]) for i in range(12)], "u long, nb array<struct<s:float,b:long,fresh:boolean>>")
+    vecs = common.settle(ann.unit_codes(df, "vec_id", "embedding"))
+    links = spark.createDataFrame([(i, i + 1, 1.0, False) for i in range(12)], "u long, b long, s float, fresh boolean")
     asked = vecs.where("id = 12").select(F.lit(-1).cast("long").alias("q"), F.col("v").alias("qv"))
     got = ann.search(vecs, links, asked, spark.createDataFrame([(-1, [0])], "q long, cand array<long>"), beam=8).collect()
     assert [list(r.ids) for r in got] == [[12, 11, 10, 9, 8, 7, 6, 5]]
