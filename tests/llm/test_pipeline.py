@@ -47,3 +47,72 @@ def test_planted_cases(spark):
     assert len(safe & set(clean)) > 0.95 * len(clean)
     bad = [r.doc_id for r in labels.where("toxic = 1").collect()]
     assert len(safe & set(bad)) < 0.3 * len(bad)
+
+
+def _folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Scores looked up one document at a time, all pairs of shingle sets, each placement tried in turn."""
+    import numpy as np
+    import pyarrow as pa
+    from test_corpus_ops import brute_groups, brute_packing
+
+    from tarnweave.llm import bpe_ids
+
+    docs = common.table(spark, SF, "documents").where("doc_id < 400")
+    labels = common.table(spark, SF, "labels")
+    sf = _folder(spark, tmp_path, docs, labels)
+    docs = common.table(spark, sf, "documents")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    left = rows
+    model = quality.unpack_model(quality.train(docs, labels))
+    good = [r for r in left if quality.vote(model, quality.features(pa.array([r.text or ""])))[0] >= 0.5]
+    kept = common.settle(docs.join(spark.createDataFrame([(r.doc_id,) for r in good], "doc_id long"), "doc_id", "left_semi").select(docs.columns))
+    machine = quality.unpack_model(toxicity.train(kept, labels))
+    safe = [r for r in good if toxicity.predict(machine, pa.array([r.text or ""]))[0] < machine["cut"][0]]
+    groups = brute_groups([r.text for r in safe])
+    one = [r for i, r in enumerate(safe) if groups[i] == i]
+    e = bpe_ids.Ids(bpe_ids.load_ranks())
+    sizes = [(r.doc_id, len(e.enc.encode_ordinary(r.text or ""))) for r in one]
+    pieces = [(d, min(2048, n - s)) for d, n in sizes for s in range(0, n, 2048)]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert 0 < len(one) < len(safe) < len(rows)
+    assert sorted((d, n) for r in got for d, n in zip(r.doc_ids, r.lens)) == sorted(pieces)
+    before = brute_packing([n for _, n in pieces], 2048)
+    mine = {}
+    for r in got:
+        level = 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lens):
+            mine[d, s] = level
+            level += n
+    assert np.array_equal([mine[d, s] for d, n in sizes for s in range(0, n, 2048)], before)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ids of 32 bits, extra columns with the operators' own names."""
+    long_ = " ".join(f"word{i % 977}" for i in range(25_000))
+    rows = [(None, None), (None, "no id"), (None, "no id"), (1, None), (2, ""), (3, " \n"), (4, long_), (5, long_ + " more"), (6, "!!!"), (7, "twice"), (7, "twice"), (7, "another text of seven"), (8, "Some short text here."), (9, "some short TEXT here")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 2, 3) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars int, score int, id int").withColumnsRenamed({"n_chars": "keys"})
+    labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0), (8, 1, 1), (None, 1, 1), (6, None, None)], "doc_id int, quality int, toxic int")
+    sf = _folder(spark, tmp_path / "odd", docs, labels)
+    seen = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.settle(stage(spark, seen, sf))
+        assert out.columns == docs.columns
+        assert stage(spark, seen.limit(0), sf).count() == 0
+        seen = out
+    left = [(r.doc_id, r.text) for r in seen.collect()]
+    assert left.count((None, "no id")) == 2 and left.count((None, None)) == 1
+    assert {1, 2, 3, 6} <= {i for i, _ in left} and [i for i, _ in left].count(7) == 1
+    assert 5 not in {i for i, _ in left} or 4 not in {i for i, _ in left}
+    packed = corpus_pipeline.packing_stage(spark, seen, sf).collect()
+    ids = [d for r in packed for d, s in zip(r.doc_ids, r.starts) if s == 0]
+    assert sorted(map(str, ids)) == sorted(str(i) for i, t in left if t)
+    assert corpus_pipeline.packing_stage(spark, seen.limit(0), sf).count() == 0
+    empty = _folder(spark, tmp_path / "empty", docs.limit(0), labels.limit(0))
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path / "unlabelled", docs, labels.limit(0))).count() > 0
