@@ -5,37 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (pattern, whether a weekday name comes first), in the order tried. The month-first form precedes the
-#: day-first form, so 03/04/2024 is 4 March and 15/01/2024 is 15 January.
-DATE_FORMS = (
-    ("yyyy-MM-dd'T'HH:mm:ssXXX", False),
-    ("dd MMM yyyy HH:mm:ss z", True),
-    ("dd MMM yyyy HH:mm:ss xx", True),
-    ("dd MMM yy HH:mm z", False),
-    ("dd MMM yy HH:mm xx", False),
-    ("yyyy-MM-dd", False),
-    ("yyyy-MM-dd'T'HH:mm:ss", False),
-    ("yyyy-MM-dd HH:mm:ss", False),
-    ("MM/dd/yyyy", False),
-    ("dd/MM/yyyy", False),
-    ("MMMM d, yyyy", False),
-    ("MMM d, yyyy", False),
-    ("d MMMM yyyy", False),
-    ("d MMM yyyy", False),
-    ("dd MMM yyyy", True),
-    ("dd-MMM-yyyy", False),
-    ("yyyy/MM/dd", False),
-    ("MM-dd-yyyy", False),
-    ("MMM d HH:mm:ss yyyy", True),
+#: Shape of a text -> the forms that can fit it, in the order tried; the weekday before the last shape's forms is dropped.
+#: The month-first form precedes the day-first form, so 03/04/2024 is 4 March and 15/01/2024 is 15 January.
+DATE_SHAPES = (
+    (r"^[+-]?\d{4,}-", ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")),
+    (r"^[+-]?\d{4,}/", ("yyyy/MM/dd",)),
+    (r"^\d\d/", ("MM/dd/yyyy", "dd/MM/yyyy")),
+    (r"^\d\d-\d", ("MM-dd-yyyy",)),
+    (r"^\d\d-\D", ("dd-MMM-yyyy",)),
+    (r"^\d\d [^:]*:", ("dd MMM yy HH:mm z", "dd MMM yy HH:mm xx")),
+    (r"^\d{1,2} \D", ("d MMMM yyyy", "d MMM yyyy")),
+    (r"^\p{L}+\.? \d{1,2},", ("MMMM d, yyyy", "MMM d, yyyy")),
 )
+WEEKDAY = "^[A-Z][a-z]{2},? "
+DAY_FORMS = ("dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss xx", "dd MMM yyyy", "MMM d HH:mm:ss yyyy")
 PRICE = r"[€£¥₹$]\s*[,\d]+(?:\.\d*)?|\d+[,.]\d\d\s*(?:EUR|GBP|INR|JPY|USD)"
 
 
 def parse_date(c: Column) -> Column:
-    """Timestamp by the first form that fits the whole text; else null."""
-    day = c.rlike("^[A-Z][a-z]{2},? ")
-    bare = F.when(day, F.regexp_replace(c, "^[A-Z][a-z]{2},? +", ""))
-    return F.coalesce(*[F.try_to_timestamp(bare if named else c, F.lit(p)) for p, named in DATE_FORMS])
+    """Timestamp by the first form that fits the whole text; else null. The text's shape tells which few forms are tried."""
+    bare = F.regexp_replace(c, WEEKDAY + "+", "")
+    tried = lambda x, forms: F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in forms])
+    out = F.when(c.rlike(WEEKDAY) & ~c.rlike(DATE_SHAPES[-1][0]), tried(bare, DAY_FORMS))
+    for shape, forms in DATE_SHAPES:
+        out = out.when(c.rlike(shape), tried(c, forms))
+    return out
 
 
 def date_normalize(c: Column, out: str = "yyyy-MM-dd'T'HH:mm:ssXXX") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,42 +15,106 @@ from . import frontier, pages
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one where it names none (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnweave-")
+    """The shared folder the cluster names. Where it names none, a temporary one on a single machine; on a cluster, whose executors share no such folder, an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tarnweave-")
 
 
-def _cut(df: DataFrame, root: str) -> DataFrame:
-    path = f"{root.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop path, its file system)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    p, fs = _files(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def _cut(df: DataFrame, path: str) -> DataFrame:
+    """Lineage ends: written to the path and read back."""
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crawl(pages_df: DataFrame, seeds: Sequence[str] | DataFrame, depth: int = 3, allow: Sequence[str] = (), deny: Sequence[str] = (), rules: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+def _edges(pages_df: DataFrame, rules: DataFrame | None, allow: Sequence[str], deny: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """((from_hash, url_hash, url) of admitted links to stored pages, (url_hash) of the stored pages)."""
+    stored = frontier.keyed(pages_df.select("url", "html"))
+    links = pages.page_links(stored.select("url", "url_hash", "html"), ("url_hash",)).select(F.col("url_hash").alias("from_hash"), F.col("link").alias("url")).distinct()
+    ok = frontier.admit(links.withColumn("depth", F.lit(0)), None, rules, allow, deny).where("rejected IS NULL")
+    have = stored.select("url_hash").distinct()
+    return ok.select("from_hash", "url_hash", F.col("canonical").alias("url")).distinct().join(have, "url_hash", "left_semi").select("from_hash", "url_hash", "url"), have
+
+
+LEVEL = "url string, url_hash string, depth int, parent string"
+
+
+def crawl(
+    pages_df: DataFrame,
+    seeds: Sequence[str] | DataFrame,
+    depth: int = 3,
+    allow: Sequence[str] = (),
+    deny: Sequence[str] = (),
+    rules: DataFrame | None = None,
+    seen: DataFrame | None = None,
+    limit: int | None = None,
+    checkpoint: str | None = None,
+    levels: int | None = None,
+) -> DataFrame:
     """(url, url_hash, depth, parent): pages reached from the seeds (depth 0) over links.
 
-    Links are extracted once, for all pages; then each level is one join with the edges and one anti join with
-    what was seen, written to the shared folder so that lineage and plans stay short. Of several parents of a
-    level the least URL counts. seen: hashes of an earlier run that aren't visited again.
+    Links are extracted, resolved and admitted once, for all pages; then each level is one join of hashes with the
+    edges and one anti join with what was reached, written to the shared folder so that lineage and plans stay
+    short. Of several parents of a level the least URL counts. seen: hashes of an earlier run that aren't visited again.
+
+    limit: exactly so many pages at most; of the level that would go beyond it those of the least URLs stay, and the
+    crawl ends. checkpoint: a folder that keeps edges and levels; a later call with the same folder goes on after
+    the last level written there. levels: a pause after so many new levels, for a later call to go on.
     """
-    spark, root = pages_df.sparkSession, work_dir(pages_df.sparkSession)
+    spark = pages_df.sparkSession
+    root = checkpoint or f"{work_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    if not checkpoint:
+        p, fs = _files(spark, root)
+        fs.deleteOnExit(p)
     if not isinstance(seeds, DataFrame):
         seeds = spark.createDataFrame([(s,) for s in seeds], "url string")
-    stored = frontier.keyed(pages_df.select("url", "html"))
-    edges = _cut(pages.page_links(stored.select("url", "url_hash", "html"), ("url_hash",)).select(F.col("url_hash").alias("from_hash"), F.col("link").alias("url")), root)
-    have = stored.select("url_hash")
-    level = frontier.admit(seeds.select("url", F.lit(0).alias("depth")), seen or spark.createDataFrame([], "url_hash string"), rules, allow, deny, depth)
-    level = level.where("rejected IS NULL").dropDuplicates(["url_hash"]).select(F.col("canonical").alias("url"), "url_hash", "depth", F.lit(None).cast("string").alias("parent"))
-    level = _cut(level.join(have, "url_hash", "left_semi").select("url", "url_hash", "depth", "parent"), root)
-    reached = level
-    for d in range(1, depth + 1):
-        known = reached.select("url_hash") if seen is None else reached.select("url_hash").union(seen.select("url_hash"))
-        found = edges.join(level.select(F.col("url_hash").alias("from_hash"), F.col("url").alias("parent")), "from_hash").select("url", "parent", F.lit(d).alias("depth"))
-        ok = frontier.admit(found, known, rules, allow, deny, depth).where("rejected IS NULL")
-        one = ok.groupBy("url_hash").agg(F.min("canonical").alias("url"), F.min("parent").alias("parent")).join(have, "url_hash", "left_semi")
-        level = _cut(one.select("url", "url_hash", F.lit(d).alias("depth"), "parent"), root)
-        if level.isEmpty():
+    if not _written(spark, f"{root}/edges"):
+        edges, have = _edges(pages_df, rules, allow, deny)
+        _cut(have, f"{root}/have")
+        _cut(edges, f"{root}/edges")
+    edges, have = (spark.read.parquet(f"{root}/{n}") for n in ("edges", "have"))
+    done, new = 0, 0  # levels written, and in this call
+    reached = spark.createDataFrame([], LEVEL)
+    level, total = None, 0
+    while done <= depth:
+        path = f"{root}/level-{done}"
+        if _written(spark, path):
+            level = spark.read.schema(LEVEL).parquet(path)
+        elif levels is not None and new >= levels:
+            break
+        else:
+            if done == 0:
+                found = frontier.admit(seeds.select("url", F.lit(0).alias("depth")), seen, rules, allow, deny, depth).where("rejected IS NULL").join(have, "url_hash", "left_semi")
+                one = found.groupBy("url_hash").agg(F.min("canonical").alias("url"), F.lit(None).cast("string").alias("parent"))
+            else:
+                found = edges.join(level.select(F.col("url_hash").alias("from_hash"), F.col("url").alias("parent")), "from_hash")
+                one = frontier.unseen(found.groupBy("url_hash").agg(F.min("url").alias("url"), F.min("parent").alias("parent")), reached)
+                one = frontier.unseen(one, seen) if seen is not None else one
+            own = one.select("url", "url_hash", F.lit(done).alias("depth"), "parent")
+            if limit is not None:  # a top-k of this level
+                own = own.orderBy("url").limit(max(0, limit - total))
+            level = _cut(own, path)
+            new += 1
+        n = level.count()
+        if not n:
+            break
+        reached, total, done = reached.unionByName(level), total + n, done + 1
+        if limit is not None and total >= limit:
             break
-        reached = reached.unionByName(level)
     return reached
 
 
@@ -98,17 +163,20 @@ def sitemap_children(sitemaps: DataFrame) -> DataFrame:
     return parsed.select("url", F.explode(F.from_xml("x", F.lit("struct<sitemap:array<struct<loc:string>>>"), {"mode": "PERMISSIVE"})["sitemap"]).alias("e")).select("url", F.btrim("e.loc").alias("child"))
 
 
-def reachable_sitemaps(sitemaps: DataFrame, root: str, most: int = 8) -> DataFrame:
-    """The root sitemap and those below it, to a bounded depth of nesting."""
-    children = sitemap_children(sitemaps)
+def reachable_sitemaps(sitemaps: DataFrame, root: str) -> DataFrame:
+    """The root sitemap and those below it, however deeply they are nested; loops end as nothing new is found."""
+    spark = sitemaps.sparkSession
+    folder = f"{work_dir(spark)}/sitemaps-{uuid.uuid4().hex}"
+    p, fs = _files(spark, folder)
+    fs.deleteOnExit(p)
+    children = _cut(sitemap_children(sitemaps).distinct(), f"{folder}/children")
     level = reached = sitemaps.where(F.col("url") == root).select("url").distinct()
-    for _ in range(most):
+    for depth in count():
         level = children.join(level, "url", "left_semi").select(F.col("child").alias("url")).distinct().join(reached, "url", "left_anti")
-        level = _cut(level, work_dir(sitemaps.sparkSession))
+        level = _cut(level, f"{folder}/{depth}")
         if level.isEmpty():
-            break
+            return sitemaps.join(reached, "url", "left_semi")
         reached = reached.union(level)
-    return sitemaps.join(reached, "url", "left_semi")
 
 
 def canonical_column(df: DataFrame, url: str = "url") -> DataFrame:

@@ -42,12 +42,13 @@ def allowed_hosts(df: DataFrame, allow: DataFrame | None = None, deny: DataFrame
     return df
 
 
-def admit(requests: DataFrame, seen: DataFrame, rules: DataFrame | None = None, allow: Sequence[str] = (), deny: Sequence[str] = (), most: int = 0) -> DataFrame:
+def admit(requests: DataFrame, seen: DataFrame | None, rules: DataFrame | None = None, allow: Sequence[str] = (), deny: Sequence[str] = (), most: int = 0) -> DataFrame:
     """Each request (url, depth) with the first reason against it: depth, seen, robots, domain, or null.
 
     rules: (host, allow, disallow). The checks run in this order, the cheap ones first.
     """
-    df = keyed(requests).join(seen.select("url_hash").distinct().withColumn("_seen", F.lit(True)), "url_hash", "left")
+    df = keyed(requests)
+    df = df.withColumn("_seen", F.lit(False)) if seen is None else df.join(seen.select("url_hash").distinct().withColumn("_seen", F.lit(True)), "url_hash", "left")
     if rules is not None:
         df = df.join(_maybe_broadcast(rules.select("host", "allow", "disallow")), "host", "left")
         robots = ~urls.robots_allowed(F.coalesce(urls.part(F.col("canonical"), "PATH"), F.lit("/")), F.col("allow"), F.col("disallow"))

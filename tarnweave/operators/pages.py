@@ -20,8 +20,8 @@ from ..functions.htmldom import Document, parse
 Rows = Callable[[str, str, Document], Iterator[tuple] | list[tuple]]
 
 
-def page_rows(pages: DataFrame, schema: str, fn: Rows, keep: Sequence[str] = (), url: str = "url", html: str = "html") -> DataFrame:
-    """fn(url, html, document) yields tuples of `schema` for each page; `keep` names columns repeated before them."""
+def page_rows(pages: DataFrame, schema: str, fn: Rows, keep: Sequence[str] = (), url: str = "url", html: str = "html", more: Sequence[str] = ()) -> DataFrame:
+    """fn(url, html, document) yields tuples of `schema` for each page; `keep` names columns repeated before them, `more` columns that fn gets besides."""
     own: StructType = _parse_datatype_string(schema)
     out = StructType([pages.schema[k] for k in keep] + own.fields)
     arrow, n = to_arrow_schema(out, prefers_large_types=False), len(keep)
@@ -29,13 +29,13 @@ def page_rows(pages: DataFrame, schema: str, fn: Rows, keep: Sequence[str] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = batch.to_pydict()
-            kept = [cols[k] for k in keep]
+            kept, own = [cols[k] for k in keep], [cols[f"_m{k}"] for k in range(len(more))]
             for lo in range(0, batch.num_rows, 256):
-                rows = [(*[c[i] for c in kept], *r) for i in range(lo, min(lo + 256, batch.num_rows)) for r in fn(cols["_u"][i] or "", cols["_h"][i] or "", parse(cols["_h"][i]))]
+                rows = [(*[c[i] for c in kept], *r) for i in range(lo, min(lo + 256, batch.num_rows)) for r in fn(cols["_u"][i] or "", cols["_h"][i] or "", parse(cols["_h"][i]), *[c[i] for c in own])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
-    return pages.select(*keep, F.col(url).alias("_u"), F.col(html).alias("_h")).mapInArrow(run, out)
+    return pages.select(*keep, F.col(url).alias("_u"), F.col(html).alias("_h"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(more)]).mapInArrow(run, out)
 
 
 FEATURES = "title string, description string, keywords string, canonical string, language string, author string, h1 array<string>, h2 array<string>, h3 array<string>, body string, links int, images int, images_without_alt int, h1_count int, og_title string, og_image string, robots string, viewport string"
@@ -211,13 +211,11 @@ def dom_nodes(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame
 
 def selector_candidates(pages: DataFrame, wanted: Column, most: int = 10) -> DataFrame:
     """(selector, score, specificity, matches) for elements that contain the text `wanted` of each page."""
-    df = pages.withColumn("_h0", F.col("html")).withColumn("html", F.to_json(F.struct(F.col("html").alias("h"), wanted.alias("w"))))
 
-    def one(url: str, raw: str, doc: Document) -> list[tuple]:
-        x = json.loads(raw)
-        return [(k, *c) for k, c in enumerate(extract.selectors_for_text(parse(x.get("h")), x.get("w") or "", most))] if x.get("w") else []
+    def one(url: str, raw: str, doc: Document, text_: str | None) -> list[tuple]:
+        return [(k, *c) for k, c in enumerate(extract.selectors_for_text(doc, text_, most))] if text_ else []
 
-    return page_rows(df, "rank int, selector string, score double, specificity int, matches int", one, ("page_id",))
+    return page_rows(pages.withColumn("_wanted", wanted), "rank int, selector string, score double, specificity int, matches int", one, ("page_id",), more=("_wanted",))
 
 
 def similar_elements(pages: DataFrame, css: str, most: int = 10) -> DataFrame:
@@ -226,15 +224,14 @@ def similar_elements(pages: DataFrame, css: str, most: int = 10) -> DataFrame:
 
 def relocate(old: DataFrame, new: DataFrame, css: str, on: str = "url") -> DataFrame:
     """(strategy, selector) by which each page's element of the old version is found in the new one; null where it isn't."""
-    both = old.select(on, F.col("html").alias("was")).join(new.select(on, F.col("html").alias("now")), on).select(F.col(on).alias("url"), F.to_json(F.struct("was", "now")).alias("html"))
+    both = old.select(on, F.col("html").alias("was")).join(new.select(on, F.col("html").alias("now")), on).select(F.col(on).alias("url"), F.col("now").alias("html"), "was")
 
-    def one(url: str, raw: str, doc: Document) -> list[tuple]:
-        x = json.loads(raw)
-        snap = extract.snapshot(parse(x.get("was")), css)
-        got = extract.relocate(parse(x.get("now")), snap) if snap else None
+    def one(url: str, raw: str, doc: Document, was: str | None) -> list[tuple]:
+        snap = extract.snapshot(parse(was), css)
+        got = extract.relocate(doc, snap) if snap else None
         return [got or (None, None)]
 
-    return page_rows(both, "strategy string, selector string", one, ("url",))
+    return page_rows(both, "strategy string, selector string", one, ("url",), more=("was",))
 
 
 # -- classifiers over responses: native expressions

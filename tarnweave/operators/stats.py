@@ -86,8 +86,10 @@ def latest_status(events: DataFrame, key: str, at: str, status: str, tie: str) -
 def offline_nodes(beats: DataFrame, timeout_s: float, now: Column | None = None, node: str = "node", at: str = "ts") -> DataFrame:
     """(node, last_seen, offline): silent for longer than the timeout, at `now` or at the last beat of all."""
     last = beats.groupBy(node).agg(F.max(at).alias("last_seen"))
-    end = now if now is not None else F.max("last_seen").over(Window.partitionBy())
-    return last.withColumn("offline", F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) > int(timeout_s * 1e6))
+    if now is None:  # one row, joined to all
+        last = last.crossJoin(F.broadcast(beats.agg(F.max(at).alias("_end"))))
+    end = now if now is not None else F.col("_end")
+    return last.withColumn("offline", F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp")) > int(timeout_s * 1e6)).drop("_end")
 
 
 def trace_stats(spans: DataFrame) -> DataFrame:

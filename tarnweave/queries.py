@@ -35,10 +35,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_built  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_built  # noqa: F401
+
     return dict(ORACLE)
 
 
@@ -446,15 +450,16 @@ SNAP = "CASE WHEN strlen({0}) > 200 THEN left({0}, CAST(list_max(list_filter(ran
 
 
 @query(f"""
-    WITH o AS (SELECT 'c/' || conv_id AS url, role, text FROM conversations WHERE turn = 0), n AS (SELECT 'c/' || conv_id AS url, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END AS role, text FROM conversations WHERE turn = 2),
+    WITH o AS (SELECT 'c/' || conv_id || '/' || turn AS url, role, text FROM conversations), n AS (SELECT 'c/' || conv_id || '/' || (turn - 2) AS url, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE role END AS role, text FROM conversations),
          f AS (SELECT url, 'role' AS field, o.role AS a, n.role AS b FROM o JOIN n USING (url) UNION ALL SELECT url, 'text', o.text, n.text FROM o JOIN n USING (url))
     SELECT url, 'added' AS type, NULL AS field, NULL AS old_value, NULL AS new_value FROM n WHERE url NOT IN (SELECT url FROM o)
     UNION ALL SELECT url, CASE WHEN b IS NULL THEN 'removed' ELSE 'modified' END, field, {SNAP.format("a")}, {SNAP.format("b")} FROM f WHERE (b IS NULL AND a IS NOT NULL) OR coalesce(a, '') <> b""")
 def detect_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first turn of each conversation as the old version of a page, the third as the new one."""
-    c = t(spark, sf_dir, "conversations").withColumn("url", F.concat(F.lit("c/"), "conv_id"))
-    new = c.where("turn = 2").withColumn("role", F.when(F.col("conv_id") % 5 != 0, F.col("role")))
-    return monitor.detect_changes(c.where("turn = 0"), new, ("role", "text"))
+    """Every turn of a conversation as the old version of a page, the one two turns on as the new one."""
+    c = t(spark, sf_dir, "conversations")
+    at = lambda back: F.concat(F.lit("c/"), "conv_id", F.lit("/"), F.col("turn") - back)
+    new = c.withColumn("url", at(2)).withColumn("role", F.when(F.col("conv_id") % 5 != 0, F.col("role")))
+    return monitor.detect_changes(c.withColumn("url", at(0)), new, ("role", "text"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, md5(text) AS body FROM documents")

@@ -47,14 +47,29 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_json_array(df: DataFrame, path: str) -> int:
-    """One file with one array, streamed through the driver a partition at a time; the number of items."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for row in item_rows(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("j")).toLocalIterator():
-            f.write((",\n" if n else "\n") + row.j)
-            n += 1
-        f.write("\n]\n")
+    """One file with one array; the number of items. Executors write the parts, which are then put together as bytes: rows never pass through the driver's memory."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    item_rows(df).select(F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "true"})).alias("value")).write.mode("overwrite").text(f"{path}.parts")
+    n = spark.read.text(f"{path}.parts").count()
+    out, first = fs.create(target, True), True
+    try:
+        out.writeBytes("[\n")
+        for name in sorted(f.getPath().getName() for f in fs.listStatus(parts)):
+            if name.startswith("part-") and fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(parts, name)).getLen():
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+                if first:
+                    part.read()  # no comma before the first item
+                    first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+        out.writeBytes("]\n")
+    finally:
+        out.close()
+    fs.delete(parts, True)
     return n
 
 
