@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import extract, text, urls
 from ..functions.htmldom import Document, parse
+from ..session import spread
 
 Rows = Callable[[str, str, Document], Iterator[tuple] | list[tuple]]
 
@@ -35,7 +36,7 @@ def page_rows(pages: DataFrame, schema: str, fn: Rows, keep: Sequence[str] = (),
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
-    return pages.select(*keep, F.col(url).alias("_u"), F.col(html).alias("_h"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(more)]).mapInArrow(run, out)
+    return spread(pages.select(*keep, F.col(url).alias("_u"), F.col(html).alias("_h"), *[F.col(c).alias(f"_m{k}") for k, c in enumerate(more)])).mapInArrow(run, out)
 
 
 FEATURES = "title string, description string, keywords string, canonical string, language string, author string, h1 array<string>, h2 array<string>, h3 array<string>, body string, links int, images int, images_without_alt int, h1_count int, og_title string, og_image string, robots string, viewport string"
