@@ -31,5 +31,5 @@ def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
     and aren't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= least * cores and 0 < len(df.inputFiles()) < cores else df
