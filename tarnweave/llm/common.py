@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread  # noqa: F401  the operators take it from here
+
 #: Bytes of text that one vectorised step handles; a longer document forms a step alone.
 CHUNK = 4 << 20
 TOKENIZERS = "/opt/tokenizers"

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, pick, plain
+from .common import chunks, pick, plain, spread
 
 #: (licence or None, end of the notice) from the lower-case text and the end of the phrase.
 Reader = Callable[[str, int], "tuple[str | None, int]"]
@@ -318,4 +318,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [batch.column(0).slice(i, j - i), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())], schema.names
                 )
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+    return spread(pick(docs, doc_id=id_col, text=text_col)).mapInArrow(run, schema)

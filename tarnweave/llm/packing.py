@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import RANKS, ids_of, load_ranks
-from .common import chunks, pick, plain, settle
+from .common import chunks, pick, plain, settle, spread
 
 CAPACITY, GROUP = 2048, 100_000
 SCHEMA = "pack_group int, bin int, doc_ids array<bigint>, starts array<bigint>, lens array<int>, used int"
@@ -32,7 +32,7 @@ def token_counts(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id
                 _, offs = ids_of(ranks.value).batch(texts.slice(i, j - i), "counts")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs), pa.int64()), batch.column(2).slice(i, j - i)], ["doc_id", "size", "salt"])
 
-    src = pick(docs, doc_id=id_col, text=text_col)
+    src = spread(pick(docs, doc_id=id_col, text=text_col))
     return src.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(run, "doc_id long, size long, salt long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PUNCT, chunks, hash_strings, mix, pick, plain, sample_labels, split_words, string_parts
+from .common import PUNCT, chunks, hash_strings, mix, pick, plain, sample_labels, split_words, spread, string_parts
 
 SAMPLE, FEATURES, RANK, NEAREST, ROWS = 4096, 4096, 64, 15, 256
 MODEL_SCHEMA = "model binary"
@@ -106,7 +106,7 @@ def unpack_model(blob: bytes) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A model of at most `most` labelled ids (a bounded sample, spread by hash). Fitted in one task; the driver gets some MB."""
     ids = F.broadcast(sample_labels(labels, label, most, docs, id_col))
-    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).join(ids, "id")
+    src = spread(pick(docs, id=id_col, text=text_col)).withColumn("id", F.col("id").cast("long")).join(ids, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,11 +152,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     the NEAREST any may vote, always the same for a model. Other columns are ignored; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most=most, id_col=id_col, text_col=text_col))
-    scored = pick(docs, doc_id=id_col, text=text_col).select("doc_id", scorer(model)("text").alias("score"))
+    scored = spread(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", scorer(model)("text").alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).alias("good"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> DataFrame:
     """The documents with all their columns, whatever their names, that score_quality() calls good; its rules for nulls, ties and empties hold."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most=most, id_col=id_col, text_col=text_col))
+    docs = spread(docs)
     return docs.where(scorer(model)(docs[f"`{text_col}`"].cast("string")) >= 0.5)

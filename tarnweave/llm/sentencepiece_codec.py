@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import TOKENIZERS, chunks, pick, plain
+from .common import TOKENIZERS, chunks, pick, plain, spread
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -362,7 +362,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, id_col: str = "do
                     ["doc_id", "ids", "n_tokens", "round_trip"],
                 )
 
-    src = pick(docs, doc_id=id_col, text=text_col)
+    src = spread(pick(docs, doc_id=id_col, text=text_col))
     out = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
     return src.mapInArrow(run, out)
 

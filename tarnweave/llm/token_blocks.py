@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe_ids import RANKS, ids_of, load_ranks
-from .common import chunks, pick, plain
+from .common import chunks, pick, plain, spread
 
 MAGIC = b"TWB2"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, lanes, checksum of the ids, checksum of the payload
@@ -393,7 +393,7 @@ def write_token_blocks(docs: DataFrame, ranks_path: str = RANKS, block: int = BL
         if have:
             yield emit()
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    return spread(pick(docs, doc_id=id_col, text=text_col)).mapInArrow(run, SCHEMA)
 
 
 def read_token_blocks(blocks: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, normal_words, owners, pick, plain, sample_labels
+from .common import chunks, normal_words, owners, pick, plain, sample_labels, spread
 from .quality import pack_model, unpack_model
 
 SAMPLE, BUCKETS, FACTORS, EPOCHS = 20_000, 1 << 26, 8, 15
@@ -202,7 +202,7 @@ def predict(model: dict[str, np.ndarray], texts: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A model of at most `most` labelled ids (a bounded sample, spread by hash), fitted in one task."""
     ids = F.broadcast(sample_labels(labels, label, most, docs, id_col))
-    src = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long")).join(ids, "id")
+    src = spread(pick(docs, id=id_col, text=text_col)).withColumn("id", F.col("id").cast("long")).join(ids, "id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +247,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     blob = train(docs, labels, most=most, id_col=id_col, text_col=text_col)
     model, cut = docs.sparkSession.sparkContext.broadcast(blob), float(unpack_model(blob)["cut"][0])
-    scored = pick(docs, doc_id=id_col, text=text_col).select("doc_id", scorer(model)("text").alias("score"))
+    scored = spread(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", scorer(model)("text").alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= cut).alias("toxic"))
 
 
@@ -255,4 +255,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The documents with all their columns, whatever their names, that score_toxicity() doesn't call toxic; its rules for nulls and empties hold."""
     blob = train(docs, labels, most=most, id_col=id_col, text_col=text_col)
     model, cut = docs.sparkSession.sparkContext.broadcast(blob), float(unpack_model(blob)["cut"][0])
+    docs = spread(docs)
     return docs.where(scorer(model)(docs[f"`{text_col}`"].cast("string")) < cut)
