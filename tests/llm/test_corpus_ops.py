@@ -757,6 +757,60 @@ def test_crowded_regions_lose_no_pairs(spark):
     assert all(g[i] == i for i in range(copies, len(docs)))
 
 
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """2000 pairs that barely reach the threshold or barely miss it: each of the former is found, none of the latter."""
+    monkeypatch.setattr(minhash, "POSTINGS", 20_000)
+    rnd = random.Random(11)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], []
+    for i in range(2000):
+        # of 60 + k triples each, 40 - or, for every fourth pair, 39 - are the same: 40 / (2 * 60 - 40) is 0.5
+        same = some(41 if i % 4 == 0 else 42)
+        want.append(i % 4 > 0)
+        docs += [" ".join(same + some(62 - len(same))) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    g = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+    assert [g[2 * i] == g[2 * i + 1] for i in range(2000)] == want
+    assert all(g[2 * i] == 2 * i for i in range(2000))
+
+
+@pytest.mark.parametrize("shared, own", [(62, 38), (34, 20), (20, 6), (14, 16)])
+def test_crowds_are_exact(spark, shared, own):
+    """Documents of a few passages, whole, cut or altered, and little or much besides: the groups are those of all pairs."""
+    rnd = random.Random(shared)
+    some = lambda n: [f"w{rnd.randrange(10**5)}" for _ in range(n)]
+    passages = [some(shared) for _ in range(3)]
+    docs = []
+    while len(docs) < 500:
+        t = list(passages[rnd.randrange(3)])
+        kind = rnd.randrange(4)
+        if kind == 1:
+            t = t[: rnd.randint(shared // 2, shared)]
+        elif kind == 2:
+            for _ in range(rnd.randint(1, 3)):
+                t[rnd.randrange(len(t))] = some(1)[0]
+        t = some(rnd.randint(0, own)) + t + some(rnd.randint(own // 2, own))
+        docs.append(t)
+        if kind == 3:
+            docs.append(t[:-(own // 3)] + some(own // 3))
+    docs = [" ".join(t) for t in docs]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    g = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+    assert [g[i] for i in range(len(docs))] == brute_groups(docs)
+
+
+def test_runs_are_formed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, first = np.full(40, 9, np.int32), np.arange(1, 41)
+    end = np.repeat([25, 26, 40], [25, 1, 14])
+    root = rng.integers(0, 30, 40)
+    want = {(i, j) for i in range(40) for j in range(i + 1, end[i]) if root[i] != root[j]}
+    for at_once in (1, 7, 24, 1000):
+        monkeypatch.setattr(minhash, "AT_ONCE", at_once)
+        got = list(minhash._pairs_of_runs(0.5, np.arange(40), n, np.zeros(40, np.int32), root, first, end))
+        assert max(len(a) for a, _ in got) <= at_once and {(int(x), int(y)) for a, b in got for x, y in zip(a, b)} == want
+
+
 # -- 10
 
 
