@@ -116,3 +116,18 @@ def test_stages_on_odd_rows(spark, tmp_path):
     empty = _folder(spark, tmp_path / "empty", docs.limit(0), labels.limit(0))
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert corpus_pipeline.run(spark, _folder(spark, tmp_path / "unlabelled", docs, labels.limit(0))).count() > 0
+
+
+def test_dedup_stage_misses_no_copy(spark):
+    """800 pairs that just reach the threshold (40 of 60 triples each are the same): one of each stays."""
+    import random
+
+    rnd = random.Random(12)
+    some = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(800):
+        same = some(42)
+        rows += [(2 * i + k, " ".join(same + some(20)), "en") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    left = corpus_pipeline.dedup_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 1600, 2))
