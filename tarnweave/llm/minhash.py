@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, by_ids, chunks, mix, normal_words, owners, pick, plain, settle, spread, unsettle
+from .common import BROADCAST_IDS, by_ids, chunks, lean, mix, normal_words, owners, pick, plain, release, settle, spread, unsettle
 from .graph import components
 
 TREES, DEPTH, SHALLOW, REGION, BLOCK = 16, 6, 2, 64, 512
@@ -179,7 +179,7 @@ def _forest_pairs(trees: DataFrame, floor: float) -> DataFrame:
     """(a, b, est) whose estimate reaches the floor, settled. trees: (tree, key, doc, sketch)."""
     top = F.substring("key", 1, 2 * SHALLOW)
     crowded = settle(trees.groupBy("tree", top.alias("top")).count().where(F.col("count") > REGION))
-    pairs_of = lambda rows, *by: rows.repartition(*by).sortWithinPartitions(*by, "doc").select(F.xxhash64(*by), "doc", "sketch").mapInArrow(_scan(floor, REGION), PAIRS)
+    pairs_of = lambda rows, *by: rows.repartition(*by).sortWithinPartitions(*by, "doc").select(F.xxhash64(*by), "doc", "sketch").mapInArrow(lean(_scan(floor, REGION)), PAIRS)
     with_top = trees.withColumn("top", top)
     if crowded.isEmpty():
         unsettle(crowded)
@@ -198,7 +198,7 @@ def _forest_pairs(trees: DataFrame, floor: float) -> DataFrame:
     parts = pairs_of(cut.where(F.col("depth") <= DEPTH), "tree", "leaf")
     # crowded at full depth: in the order of the other trees' minima, of which neighbours share the longest prefix
     turned = cut.where(F.col("depth") > DEPTH).withColumn("rest", F.expr(f"concat(substring(sketch, tree * {DEPTH} + {DEPTH} + 1), substring(sketch, 1, tree * {DEPTH}))"))
-    deep = turned.repartitionByRange("tree", "key", "rest", "doc").sortWithinPartitions("tree", "key", "rest", "doc").select(F.xxhash64("tree", "key"), "doc", "sketch").mapInArrow(_scan(floor, WINDOW), PAIRS)
+    deep = turned.repartitionByRange("tree", "key", "rest", "doc").sortWithinPartitions("tree", "key", "rest", "doc").select(F.xxhash64("tree", "key"), "doc", "sketch").mapInArrow(lean(_scan(floor, WINDOW)), PAIRS)
     pairs = settle(small.union(parts).union(deep))
     unsettle(crowd)
     unsettle(crowded)
@@ -272,6 +272,7 @@ def _rate(buckets: int):
         cols = {"h": h[keep], "doc": doc[at], "up": up[at], "mark": mark[at], "n": n[at], "own": np.full(len(at), key[0].as_py(), np.int32), "df": (run - first)[keep].astype(np.int32)}
         with np.errstate(over="ignore"):
             bucket = (mix(doc[at].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        release()  # of the group before
         return pa.Table.from_batches([_blobs(bucket, cols)])
 
     return run
@@ -372,6 +373,7 @@ def _runs(threshold: float):
             out += list(_pairs_of_runs(threshold, doc[hot], n[hot], pos[hot], root[hot], np.arange(1, len(hot) + 1), np.where(cls[hot] == 2, 0, runs)))
         parts = [(a, b, np.zeros(len(a), bool)) for a, b in out] + [(a, b, np.ones(len(a), bool)) for a, b in known]
         cols = [np.concatenate(z) for z in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        release()  # of the group before
         return pa.table({"a": pa.array(cols[0]), "b": pa.array(cols[1]), "known": pa.array(cols[2])})
 
     return run
@@ -386,7 +388,7 @@ def _ends(first: np.ndarray) -> np.ndarray:
 def _rest(texts: DataFrame, total: int, threshold: float) -> DataFrame:
     """(a, b, known), settled, each pair once: every pair of (doc, text, root, several) of different roots that reaches the threshold, and others. total: shingles of all texts."""
     buckets = max(BUCKETS, -(-total // POSTINGS))
-    told = texts.select("doc", "text", "root", "several").mapInArrow(_tell(buckets), _rows(_TOLD))
+    told = texts.select("doc", "text", "root", "several").mapInArrow(lean(_tell(buckets)), _rows(_TOLD))
     rated = told.groupBy("bucket").applyInArrow(_rate(buckets), _rows(_RATED))
     posted = rated.groupBy("bucket").applyInArrow(_post(threshold, HOT), _rows(_POSTED))
     met = posted.groupBy("bucket").applyInArrow(_runs(threshold), "a long, b long, known boolean")
@@ -408,6 +410,7 @@ def _close(threshold: float):
             return both / max(1, len(x) + len(y) - both) >= threshold
 
         got = [(a, b) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()) if any(near(x, y) for x in sets.get(a, []) for y in sets.get(b, []))]
+        release()  # of the group before
         return pa.table({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
     return run
@@ -425,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     under the threshold is taken for a link only where 80 % of its 96 minima agree, by a chance of about 1e-9 a pair.
     """
     src = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = settle(spread(src).mapInArrow(_sign, "doc_id long, print long, n long, keys binary, sketch binary"))
+    signed = settle(spread(src).mapInArrow(lean(_sign), "doc_id long, print long, n long, keys binary, sketch binary"))
     # the sketch makes the fingerprint long enough for any number of documents
     first = signed.groupBy("print", "sketch").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"), F.min("n").alias("n"))
     reps = settle(first)
@@ -446,7 +449,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = _rest(texts, reps.agg(F.sum("n")).first()[0] or 0, threshold)
     open_ = met.where("NOT known").select("a", "b")
     asked = settle(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
-    sets = settle(by_ids(src, asked, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"))
+    sets = settle(by_ids(src, asked, "doc_id", "left_semi").mapInArrow(lean(_sets), "id long, shingles binary"))
     blocks = max(1, -(-asked.count() // BLOCK))
     told = open_.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int").alias("blk"))
     need = told.select("blk", F.col("a").alias("id")).union(told.select("blk", "b")).distinct().join(sets.dropDuplicates(["id", "shingles"]), "id").select(F.col("blk").alias("blk"), F.col("id").alias("id"), "shingles")

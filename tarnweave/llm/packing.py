@@ -15,25 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import RANKS, ids_of, load_ranks
-from .common import chunks, pick, plain, settle, spread
+from .common import chunks, lean, pick, plain, settle, spread
 
 CAPACITY, GROUP = 2048, 100_000
 SCHEMA = "pack_group int, bin int, doc_ids array<bigint>, starts array<bigint>, lens array<int>, used int"
 
 
-def token_counts(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, salt): tokens of each text; null and empty ones have 0. salt is a hash of id and text."""
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+def _counts(ranks):
+    """Rows (doc_id, text, salt) with the number of tokens for the text; a step holds the words of CHUNK bytes, or of one longer text. ranks: a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = plain(batch.column(1))
-            for i, j in chunks(texts, 16 << 20):
+            for i, j in chunks(texts):
                 _, offs = ids_of(ranks.value).batch(texts.slice(i, j - i), "counts")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offs), pa.int64()), batch.column(2).slice(i, j - i)], ["doc_id", "size", "salt"])
 
+    return run
+
+
+def token_counts(docs: DataFrame, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, salt): tokens of each text; null and empty ones have 0. salt is a hash of id and text."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     src = spread(pick(docs, doc_id=id_col, text=text_col))
-    return src.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(run, "doc_id long, size long, salt long")
+    return src.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(lean(_counts(ranks)), "doc_id long, size long, salt long")
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -117,7 +122,7 @@ def pack_sizes(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group: i
     groups = max(1, -(-n_docs // group))
     dealt = sizes.where(F.col("size") > 0).select(F.pmod(F.xxhash64("salt"), F.lit(groups)).cast("int").alias("pack_group"), "doc_id", "size")
     # an explicit number of partitions: tiny as the rows are, groups should not be put together into one task
-    return dealt.repartition(2 * groups, "pack_group").sortWithinPartitions("pack_group", F.col("doc_id").asc_nulls_last(), "size").mapInArrow(_pack(capacity, 4 * group), SCHEMA)
+    return dealt.repartition(2 * groups, "pack_group").sortWithinPartitions("pack_group", F.col("doc_id").asc_nulls_last(), "size").mapInArrow(lean(_pack(capacity, 4 * group)), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, ranks_path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

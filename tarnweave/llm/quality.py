@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PUNCT, chunks, hash_strings, mix, pick, plain, sample_labels, split_words, spread, string_parts
+from .common import PUNCT, chunks, hash_strings, lean, mix, pick, plain, release, sample_labels, split_words, spread, string_parts
 
 SAMPLE, FEATURES, RANK, NEAREST, ROWS = 4096, 4096, 64, 15, 256
 MODEL_SCHEMA = "model binary"
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         x = np.frombuffer(b"".join(r[1] for r in seen), np.uint16).reshape(len(seen), FEATURES).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([pack_model(fit(x, np.array([r[2] for r in seen])))], pa.binary())], ["model"])
 
-    got = src.mapInArrow(rows, "id long, x binary, y int").repartition(1).mapInArrow(learn, MODEL_SCHEMA).collect()
+    got = src.mapInArrow(lean(rows), "id long, x binary, y int").repartition(1).mapInArrow(lean(learn), MODEL_SCHEMA).collect()
     return got[0][0] if got else pack_model(fit(np.zeros((0, FEATURES), np.float32), np.zeros(0)))
 
 
@@ -139,6 +139,7 @@ def scorer(model_broadcast, nearest: int = NEAREST):
                 for k in range(i, j, ROWS):
                     out.append(vote(model, features(texts.slice(k, min(ROWS, j - k))), nearest))
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        release()
 
     return score
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, normal_words, owners, pick, plain, sample_labels, spread
+from .common import chunks, lean, normal_words, owners, pick, plain, release, sample_labels, spread
 from .quality import pack_model, unpack_model
 
 SAMPLE, BUCKETS, FACTORS, EPOCHS = 20_000, 1 << 26, 8, 15
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         model = fit(own, np.concatenate(terms) if terms else np.zeros(0, np.int32), np.array([r[2] for r in seen], float))
         yield pa.RecordBatch.from_arrays([pa.array([pack_model(model)], pa.binary())], ["model"])
 
-    got = src.mapInArrow(rows, "id long, x binary, y int").repartition(1).mapInArrow(learn, "model binary").collect()
+    got = src.mapInArrow(lean(rows), "id long, x binary, y int").repartition(1).mapInArrow(lean(learn), "model binary").collect()
     return got[0][0] if got else pack_model(fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
 
 
@@ -234,6 +234,7 @@ def scorer(model_broadcast):
             texts = plain(arr)
             out = [predict(model, texts.slice(i, j - i)) for i, j in chunks(texts)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        release()
 
     return score
 

@@ -314,6 +314,21 @@ def test_packing_documents(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_token_counts_hold_little(monkeypatch):
+    """A step takes no more text than CHUNK, however large the batch, and a partition that ends gives its memory back; the counts are those of whole texts."""
+    from types import SimpleNamespace
+
+    steps, freed, batch_of = [], [], bpe_ids.Ids.batch
+    monkeypatch.setattr(bpe_ids.Ids, "batch", lambda self, texts, want="ids": (steps.append(sum(len(x.as_py()) for x in texts)), batch_of(self, texts, want))[1])
+    monkeypatch.setattr(common, "release", lambda: freed.append(1))
+    texts = [words(i, 250_000) for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts), pa.array(range(12))], ["doc_id", "text", "salt"])
+    ranks = bpe_ids.load_ranks()
+    got = [n for b in common.lean(packing._counts(SimpleNamespace(value=ranks)))(iter([batch])) for n in b["size"].to_pylist()]
+    assert sum(steps) > 2 * common.CHUNK and max(steps) <= common.CHUNK and freed == [1]
+    assert got == [len(bpe_ids.ids_of(ranks).enc.encode_ordinary(t)) for t in texts]
+
+
 def test_packing_keeps_large_ids_beside_nulls(spark):
     big = (1 << 62) + 1
     rows = packing.pack_documents(spark.createDataFrame([(big, "a b"), (None, "c d"), (big + 1, "e")], "doc_id long, text string"), group=100).collect()
