@@ -210,21 +210,35 @@ def _least(threshold: float, n: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.ceil(threshold * n - 1e-9)).astype(np.int64)
 
 
+def _packed(c: np.ndarray) -> bytes:
+    """A column as the differences of its rows, all first bytes, then all second ones, and so on, compressed: what repeats or grows slowly takes little."""
+    x = np.diff(c.view(f"i{c.itemsize}"), prepend=c.dtype.type(0).view(f"i{c.itemsize}")) if c.dtype.kind == "i" else c
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, c.itemsize).T), asbytes=True)
+
+
 def _blobs(bucket: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row for each bucket with its part of the columns as bytes: few rows are shuffled, and repeated values are compressed well."""
-    order = np.argsort(bucket, kind="stable")
+    """A row for each bucket with its part of the columns, by document, as compressed bytes: few rows are shuffled."""
+    order = np.lexsort((cols["doc"], bucket))
     bucket = bucket[order]
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
-    parts = [pa.array([c[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])], pa.binary()) for c in (z[order] for z in cols.values())]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), *parts], ["bucket", *cols])
+    parts = [pa.array([_packed(c[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:])], pa.binary()) for c in (z[order] for z in cols.values())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.diff(edge).astype(np.int32)), *parts], ["bucket", "size", *cols])
 
 
 def _unpacked(rows: pa.Table, fields: dict) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(rows[name].to_pylist()), t) for name, t in fields.items()]
+    sizes, out = rows["size"].to_pylist(), []
+    for name, t in fields.items():
+        t, parts = np.dtype(t), [np.zeros(0, t)]
+        for n, data in zip(sizes, rows[name].to_pylist()):
+            x = np.frombuffer(pa.Codec("zstd").decompress(data, n * t.itemsize), np.uint8).reshape(t.itemsize, n)
+            x = np.ascontiguousarray(x.T).view(t).ravel()
+            parts.append(np.cumsum(x, dtype=t) if t.kind == "i" else x)
+        out.append(np.concatenate(parts))
+    return out
 
 
 def _rows(fields: dict) -> str:
-    return "bucket int, " + ", ".join(f"{name} binary" for name in fields)
+    return "bucket int, size int, " + ", ".join(f"{name} binary" for name in fields)
 
 
 #: A text's shingle: 32 of its bits (the bucket has others), document, what to add for its group, mark that tells an id's texts apart, size of the text's set.

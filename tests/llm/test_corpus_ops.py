@@ -814,6 +814,21 @@ def test_crowds_are_exact(spark, shared, own):
     assert [g[i] for i in range(len(docs))] == brute_groups(docs)
 
 
+def test_told_shingles_are_small():
+    """Shingles of texts of some hundred words, in few buckets, take little more than the 4 bytes of their hash, and come back as they were, whatever the numbers."""
+    texts = [words(i, 400) for i in range(300)]
+    docs = np.arange(300) * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(docs), pa.array(texts), pa.array(docs), pa.array([False] * 300)], ["doc", "text", "root", "several"])
+    rows = pa.Table.from_batches(list(minhash._tell(32)(iter([batch]))))
+    h, doc, up, mark, n = minhash._unpacked(rows, minhash._TOLD)
+    assert len(h) > 100_000 and sum(len(x) for c in minhash._TOLD for x in rows[c].to_pylist()) < 6 * len(h)
+    assert not up.any() and not mark.any() and np.array_equal(np.bincount(doc, minlength=2100)[docs], n[np.unique(doc, return_index=True)[1]])
+    rng, size = np.random.default_rng(4), 1000
+    cols = {k: rng.integers(np.iinfo(t).min, np.iinfo(t).max, size, t, endpoint=True) for k, t in minhash._RATED.items()}
+    back = minhash._unpacked(pa.Table.from_batches([minhash._blobs(rng.integers(0, 9, size), cols)]), minhash._RATED)
+    assert sorted(zip(*(c.tolist() for c in back))) == sorted(zip(*(c.tolist() for c in cols.values())))
+
+
 def test_runs_are_formed_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     n, first = np.full(40, 9, np.int32), np.arange(1, 41)
