@@ -3,7 +3,7 @@
 Each document has TREES x DEPTH minima over its word shingles. A tree is the documents in the order of its DEPTH
 minima; documents that agree in the first SHALLOW minima are a region, whose pairs are candidates. A region of more
 than REGION documents is split at the next minimum, and so on, until its parts are small; parts that are crowded at full
-depth are compared along their order, so that those with the longest common prefix meet. The forest only links what
+depth are compared along their order, so that those with the longest common prefix meet. One sort of all trees does this. The forest only links what
 its minima leave no doubt about (SURE). It spares the join the pairs within large groups; nothing is left to it alone.
 
 The join finds every pair of different groups that reaches the threshold. Shingles have one order, rare ones first. A set
@@ -15,10 +15,11 @@ common shingles alone link them (_runs). Candidates are settled by their whole s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, by_ids, chunks, lean, mix, normal_words, owners, pick, plain, release, settle, spread, unsettle
@@ -26,6 +27,8 @@ from .graph import components
 
 TREES, DEPTH, SHALLOW, REGION, BLOCK = 16, 6, 2, 64, 512
 WINDOW = 6
+#: Rows of an open region that wait for the next batch, at most.
+HELD = 16_384
 SHINGLE, THRESHOLD = 3, 0.5
 PAIRS = "a long, b long, est double"
 #: Estimates this far above the threshold are links (six standard errors of 96 minima); all others are left to the join.
@@ -170,39 +173,59 @@ def _firsts(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """The table, marked for broadcasting where it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_IDS // 8 + 1).count() <= BROADCAST_IDS // 8 else df
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """From rows (key, doc, sketch) in the order of their keys, piece by piece: rows (cell, doc, sketch) of small parts, each whole, and those crowded at full depth.
+
+    A row's part is the largest of those that share a prefix of at least SHALLOW minima with it and have at most REGION rows. What
+    is held for the next batch begins with a part's first row, or is a crowd's last rows; what lies before it only shows that the parts it was
+    in are large. A part whose beginning isn't seen is compared whole if what is seen is small: more pairs, never fewer.
+    """
+    held = None
+    for batch in chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        n = rows.num_rows
+        key = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint8).reshape(n, -1)
+        differ = key[1:] != key[:-1]
+        same = np.where(differ.any(1), differ.argmax(1), key.shape[1])  # bytes that a row shares with the one before
+        cell, starts = np.zeros(n, np.int64), []
+        for d in range(DEPTH, SHALLOW - 1, -1):
+            new = np.concatenate([[True], same < 1 + 2 * d])
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            small = _ends(new) - start <= REGION
+            cell = np.where(small | (d == DEPTH), start, cell)
+            if d == DEPTH:
+                deep = ~small
+            starts.append(int(start[-1]))
+        whole = n if batch is None else next((i for i in reversed(starts) if n - i <= HELD), None)
+        done, keep = (n, n - WINDOW) if whole is None else (whole, whole)  # a crowd goes on
+        cells = pa.RecordBatch.from_arrays([pa.array(cell), rows.column(1), rows.column(2)], ["cell", "doc", "sketch"]).slice(0, done)
+        yield cells.filter(pa.array(~deep[:done])), cells.filter(pa.array(deep[:done]))
+        held = rows.slice(keep)
+
+
+def _descend(floor: float):
+    """Pairs of sorted rows (key, doc, sketch) whose estimate reaches the floor: all of small parts, neighbours in the order of crowds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for small, deep in _leaves(batches):
+            yield from _scan(floor, REGION)(iter([small]))
+            yield from _scan(floor, WINDOW)(iter([deep]))
+
+    return run
 
 
 def _forest_pairs(trees: DataFrame, floor: float) -> DataFrame:
-    """(a, b, est) whose estimate reaches the floor, settled. trees: (tree, key, doc, sketch)."""
-    top = F.substring("key", 1, 2 * SHALLOW)
-    crowded = settle(trees.groupBy("tree", top.alias("top")).count().where(F.col("count") > REGION))
-    pairs_of = lambda rows, *by: rows.repartition(*by).sortWithinPartitions(*by, "doc").select(F.xxhash64(*by), "doc", "sketch").mapInArrow(lean(_scan(floor, REGION)), PAIRS)
-    with_top = trees.withColumn("top", top)
-    if crowded.isEmpty():
-        unsettle(crowded)
-        return settle(pairs_of(with_top, "tree", "top"))
-    small = pairs_of(with_top.join(_few(crowded.select("tree", "top")), ["tree", "top"], "left_anti"), "tree", "top")
-    crowd = settle(with_top.join(_few(crowded), ["tree", "top"]))
-    # how deep each key must be cut for its part to be small
-    keys = crowd.groupBy("tree", "key").agg(F.count("*").alias("n"))
-    depth = F.lit(DEPTH + 1)
-    for d in range(DEPTH, SHALLOW, -1):
-        part = Window.partitionBy("tree", F.substring("key", 1, 2 * d))
-        depth = F.when(F.col(f"n{d}") <= REGION, d).otherwise(depth)
-        keys = keys.withColumn(f"n{d}", F.sum("n").over(part))
-    keys = keys.select("tree", "key", depth.alias("depth"))
-    cut = crowd.select("tree", "key", "doc", "sketch").join(keys, ["tree", "key"]).withColumn("leaf", F.expr("substring(key, 1, 2 * depth)"))
-    parts = pairs_of(cut.where(F.col("depth") <= DEPTH), "tree", "leaf")
-    # crowded at full depth: in the order of the other trees' minima, of which neighbours share the longest prefix
-    turned = cut.where(F.col("depth") > DEPTH).withColumn("rest", F.expr(f"concat(substring(sketch, tree * {DEPTH} + {DEPTH} + 1), substring(sketch, 1, tree * {DEPTH}))"))
-    deep = turned.repartitionByRange("tree", "key", "rest", "doc").sortWithinPartitions("tree", "key", "rest", "doc").select(F.xxhash64("tree", "key"), "doc", "sketch").mapInArrow(lean(_scan(floor, WINDOW)), PAIRS)
-    pairs = settle(small.union(parts).union(deep))
-    unsettle(crowd)
-    unsettle(crowded)
-    return pairs
+    """(a, b, est) whose estimate reaches the floor, settled. trees: (tree, key, doc, sketch).
+
+    All trees are sorted in one shuffle, by ranges, so that no crowd is one task; rows of equal minima by the other trees' minima, so that those
+    with the longest common prefix meet. Pairs that a range's end parts are left to the join, as all that the forest doesn't find.
+    """
+    rest = F.expr(f"concat(substring(sketch, tree * {DEPTH} + {DEPTH} + 1), substring(sketch, 1, tree * {DEPTH}))")
+    keyed = trees.select("tree", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), "key").alias("key"), "doc", "sketch")
+    by = [F.col("key"), rest, F.col("doc")]
+    return settle(keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "doc", "sketch").mapInArrow(lean(_descend(floor)), PAIRS))
 
 
 def _least(threshold: float, n: np.ndarray) -> np.ndarray:
@@ -409,6 +432,16 @@ def _rest(texts: DataFrame, total: int, threshold: float) -> DataFrame:
     return settle(met.groupBy("a", "b").agg(F.max("known").alias("known")))
 
 
+def _together(pairs: DataFrame, block: int, blocks: int) -> DataFrame:
+    """(blk, a, b), settled: the pairs dealt to blocks by the least partner of `a`, so that the sets of a crowd go to few blocks; where that is one of more than `block` documents they are dealt on by hash."""
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    least = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("a"), F.least("x", "y").alias("least"))
+    parts = least.groupBy("least").agg(F.ceil(F.count("*") / block).alias("parts"))
+    part = F.xxhash64("least", F.pmod(F.xxhash64("a"), F.col("parts")))
+    dealt = least.join(parts, "least").select("a", F.pmod(part, F.lit(blocks)).cast("int").alias("blk"))
+    return settle(pairs.join(dealt, "a").select("blk", "a", "b"))
+
+
 def _close(threshold: float):
     """The pairs (blk, a, b) of a block whose sets (blk, id, shingles) reach the threshold."""
 
@@ -465,8 +498,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = settle(open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
     sets = settle(by_ids(src, asked, "doc_id", "left_semi").mapInArrow(lean(_sets), "id long, shingles binary"))
     blocks = max(1, -(-asked.count() // BLOCK))
-    told = open_.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int").alias("blk"))
-    need = told.select("blk", F.col("a").alias("id")).union(told.select("blk", "b")).distinct().join(sets.dropDuplicates(["id", "shingles"]), "id").select(F.col("blk").alias("blk"), F.col("id").alias("id"), "shingles")
+    told = _together(open_, BLOCK, blocks)
+    # by the id alone, as the join needs them: sets aren't shuffled once more for it
+    need = told.select("blk", F.col("a").alias("id")).union(told.select("blk", "b")).distinct().join(sets.repartition("id").dropDuplicates(["id", "shingles"]), "id").select(F.col("blk").alias("blk"), F.col("id").alias("id"), "shingles")
     close = told.groupBy("blk").cogroup(need.groupBy("blk")).applyInArrow(_close(threshold), "a long, b long").distinct()
     links = close.union(met.where("known").select("a", "b"))
     ra, rb = sure.select(F.col("id").alias("a"), F.col("root").alias("ra")), sure.select(F.col("id").alias("b"), F.col("root").alias("rb"))
@@ -475,7 +509,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = src.select("doc_id").distinct()
     grouped = ids.join(sure.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     out = settle(grouped.join(linked.dropDuplicates(["root"]), "root", "left").select("doc_id", F.coalesce("top", "root").alias("group_id")))
-    for done in (reps, copies, several, sure, marks, met, asked, sets):
+    for done in (reps, copies, several, sure, marks, met, asked, sets, told):
         unsettle(done)
     return out
 

@@ -723,6 +723,49 @@ def test_cells_are_compared_across_batches(size):
         assert got == {(i, j) for i in range(60) for j in range(i + 1, min(60, i + reach + 1)) if cell[i] == cell[j] and (sketch[i] == sketch[j]).mean() >= 0.35}
 
 
+@pytest.mark.parametrize("size, held", [(1, 100), (50, 100), (300, 100), (2000, 5000)])
+def test_parts_are_found_in_one_pass(monkeypatch, size, held):
+    """Of sorted rows, all pairs of each part that is small and the neighbours in crowds, however batches cut them and little is held."""
+    monkeypatch.setattr(minhash, "HELD", held)
+    rng = np.random.default_rng(7)
+    minima = rng.integers(0, 4, (1500, minhash.DEPTH)) * (rng.random((1500, 1)) < 0.8)
+    keys = sorted(bytes([1]) + r.astype(">u2").tobytes() for r in minima)
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(1500), pa.int64()), pa.array([bytes(minhash.TREES * minhash.DEPTH)] * 1500)], ["key", "doc", "sketch"])
+    got = {(p["a"], p["b"]) for b in minhash._descend(0.8)(iter([rows.slice(i, size) for i in range(0, 1500, size)])) for p in b.to_pylist()}
+    want = set()
+    for d in range(minhash.SHALLOW, minhash.DEPTH + 1):
+        for _, part in itertools.groupby(range(1500), lambda i: keys[i][: 1 + 2 * d]):
+            part = list(part)
+            if len(part) <= minhash.REGION:
+                want |= set(itertools.combinations(part, 2))
+            elif d == minhash.DEPTH:
+                want |= {(i, j) for i, j in itertools.combinations(part, 2) if j - i <= minhash.WINDOW}
+    assert want <= got and (held < 1500 or got == want)
+
+
+def test_forest_is_one_shuffle(spark):
+    """No row of the forest is shuffled twice, crowded or not."""
+    sent = []
+    rows = [(t, bytes(12) if i % 2 else bytes([i % 256, i // 256] * 6), i, bytes([i % 5]) * 96) for i in range(1000) for t in range(2)]
+    trees = spark.createDataFrame(rows, "tree int, key binary, doc long, sketch binary")
+    real = minhash.settle
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(minhash, "settle", lambda df: sent.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+        pairs = minhash._forest_pairs(trees, 0.8)
+    assert len(sent) == 1 and sent[0].count("Repartition") == 1 and "Join" not in sent[0] and pairs.where("a < b").count() > 1000
+
+
+def test_pairs_of_crowds_lie_together(spark):
+    """Pairs within 50 crowds of 30 and of one document with 3000 others: each pair once, a crowd's sets in few blocks, no block with all the others."""
+    pairs = [(100 * c + i, 100 * c + j) for c in range(50) for i, j in itertools.combinations(range(30), 2)] + [(9000 + i, 20_000) for i in range(3000)]
+    got = minhash._together(spark.createDataFrame(pairs, "a long, b long"), 256, 16).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs)
+    ids = {(r.blk, x) for r in got for x in (r.a, r.b) if x < 9000}
+    assert len(ids) <= 2 * 1500
+    star = [sum(r.b == 20_000 and r.blk == k for r in got) for k in range(16)]
+    assert max(star) < 1500
+
+
 def test_near_duplicate_edges(spark):
     docs = nasty(spark)
     got = {r.doc_id: r.group_id for r in minhash.near_duplicates(docs).collect()}
