@@ -44,10 +44,10 @@ class Ids:
         first = np.zeros(len(words), bool)
         first[offs[:-1]] = True  # the first word of a text has no space before it
         coded = pc.dictionary_encode(words)
-        codes, seen = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        codes, seen = np.asarray(coded.indices).astype(np.int64), coded.dictionary
         flat, size, begin = self._spaced(seen)
         rare, inv = np.unique(codes[first], return_inverse=True)
-        own = [self.enc.encode_ordinary(seen[i]) for i in rare]
+        own = [self.enc.encode_ordinary(seen[int(i)].as_py()) for i in rare]
         codes[first] = len(seen) + inv
         lens = np.array([len(x) for x in own], np.int64)
         begin = np.concatenate([begin, len(flat) + np.cumsum(lens) - lens]) if len(own) else begin
@@ -63,7 +63,9 @@ class Ids:
         out_offs = np.concatenate([[0], np.cumsum(counts)])
         if want == "counts":
             return flat[:0], out_offs
-        idx = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin[codes], n)
+        # 32 bits are enough: an array's text has less than 2^31 bytes
+        idx = np.arange(ends[-1], dtype=np.int32)
+        idx += np.repeat((begin[codes] - ends[:-1]).astype(np.int32), n)
         if not slow:
             return flat[idx], out_offs
         out = np.empty(out_offs[-1], np.int32)
@@ -72,11 +74,12 @@ class Ids:
             out[out_offs[r] : out_offs[r + 1]] = x
         return out, out_offs
 
-    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, count and begin per word) of " " + word for words without spaces, in one call: such units never join over a space."""
-        if not words:
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, count and begin per word) of " " + word for words without spaces, in one call: such units never join over a space. Arrow joins them, so that no word becomes an object."""
+        if not len(words):
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        flat = np.asarray(self.enc.encode_ordinary(" " + " ".join(words)), np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        flat = np.asarray(self.enc.encode_ordinary(" " + joined), np.int32)
         begin = np.flatnonzero(self.starts[flat])
         if len(begin) != len(words):
             raise AssertionError("a word starts without its space")

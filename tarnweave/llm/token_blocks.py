@@ -205,7 +205,8 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
         # all that follows is the same for equal keys
         ctx = key >> ID_BITS
         by = _runs(ctx)
-        seen = tuple(np.repeat(z, np.diff(by)) for z in model.contexts(ctx[by[:-1]]))
+        whose = np.repeat(np.arange(len(by) - 1), np.diff(by))
+        seen = tuple(z.take(whose) for z in model.contexts(ctx[by[:-1]]))
         y = key & ((1 << ID_BITS) - 1)
         one = grouped(key >> ID_BITS + HASH_BITS << ID_BITS | y, times)
         at1, hit1 = model.one.find(one[0])
@@ -217,8 +218,8 @@ def encode_block(ids: np.ndarray, vocab: int, lanes: int = LANES) -> bytes:
         c = np.where(known, begin * model.total, (MASS - esc) * model.total + model.base[y] * esc)
         own = np.empty(len(x), np.int64)
         own[order] = np.repeat(np.arange(len(key)), times)
-        f, c = f[own], c[own]
-        f, c, whole, at = f.astype(np.uint64), c.astype(np.uint64), np.uint64(MASS * model.total), 0
+        f, c = f.astype(np.uint64).take(own), c.astype(np.uint64).take(own)
+        whole, at = np.uint64(MASS * model.total), 0
         for m in ks:
             lo, rg = low[:m], rng[:m]
             r = rg // whole

@@ -105,6 +105,16 @@ def test_bpe_ids_equal_library():
     assert counts.tolist() == offs.tolist()
 
 
+def test_distinct_words_stay_in_arrow(monkeypatch):
+    """A chunk's distinct words go to the tokenizer as Arrow's own string, not as one object each; the ids are the library's."""
+    ids, texts = bpe_ids.ids_of(bpe_ids.load_ranks()), [words(i, 50) for i in range(40)] + ["", "a", "日本語 テキスト 😀"]
+    kinds, real = [], bpe_ids.Ids._spaced
+    monkeypatch.setattr(bpe_ids.Ids, "_spaced", lambda self, w: kinds.append(type(w)) or real(self, w))
+    flat, offs = ids.batch(pa.array(texts))
+    assert kinds == [pa.StringArray]
+    assert [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [ids.enc.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000, 40_000])
 def test_block_round_trip(n):
     rng = np.random.default_rng(n)
