@@ -9,10 +9,11 @@ table in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from .common import pick, settle, unsettle
 
 GRAPH_K, BLOCK, LEAF, TREES = 20, 4096, 1024, 4
 NEAREST, BEAM, EXPAND, TOGETHER = 10, 384, 384, 256
-EDGES = "u long, b long, s float"
+#: A node's edges, or some of them, in one row: ends, cosines, whether they are new.
+LISTS = "u long, b array<long>, s array<float>, fresh array<boolean>"
 
 
 def unit_codes(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -76,7 +78,7 @@ def _leaf_pairs(k: int, leaf: int):
             m = min(k, len(ids) - 1)
             if m > 0:
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["u", "b", "s"])
+                yield _rows(np.repeat(ids, m), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones(m * len(ids), bool))
 
         for batch in batches:
             for tree, cell, i, v in zip(*[c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2), batch.column(3))]):
@@ -107,7 +109,7 @@ def _seed(vecs: DataFrame, n: int, dim: int, k: int, leaf: int, trees: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(x), pa.int32()), pa.array(cell.astype(np.int64)), batch.column(0), batch.column(1), pa.array(p[:, bits])], ["tree", "cell", "id", "v", "p"])
 
     spread = vecs.mapInArrow(project, "tree int, cell long, id long, v binary, p float").repartition("tree", "cell").sortWithinPartitions("tree", "cell", "p", "id")
-    return spread.mapInArrow(_leaf_pairs(k, leaf), EDGES)
+    return spread.mapInArrow(_leaf_pairs(k, leaf), LISTS)
 
 
 def _first(df: DataFrame, k: int, of: str, *order) -> DataFrame:
@@ -115,10 +117,93 @@ def _first(df: DataFrame, k: int, of: str, *order) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(of).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
 
-def _merge(edges: DataFrame, k: int) -> DataFrame:
-    """(u, b, s, fresh): the k best neighbours of each node, ties by b."""
-    once = edges.groupBy("u", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    return _first(once, k, "u", F.desc("s"), "b")
+def _rows(u: np.ndarray, b: np.ndarray, s: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+    """Edges, those of a node side by side, as LISTS."""
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, int)
+    offs = pa.array(np.append(first, len(u)).astype(np.int32))
+    cols = [pa.ListArray.from_arrays(offs, pa.array(c, t)) for c, t in ((b, pa.int64()), (s.astype(np.float32), pa.float32()), (fresh.astype(bool), pa.bool_()))]
+    return pa.RecordBatch.from_arrays([pa.array(u[first], pa.int64()), *cols], ["u", "b", "s", "fresh"])
+
+
+def _edges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, b, s, fresh) of LISTS, an edge an element."""
+    (b, offs), (s, _), (fresh, _) = (_lists(pa.chunked_array([rows.column(c)])) for c in (1, 2, 3))
+    return np.repeat(np.asarray(rows.column(0)), np.diff(offs)), b, s, fresh.astype(bool)
+
+
+def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their first column, cut only where it changes."""
+    held = None
+    for batch in chain(batches, [None]):
+        rows = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+        if rows is None or not rows.num_rows:
+            continue
+        node = np.asarray(rows.column(0))
+        cut = len(node) if batch is None else int(np.searchsorted(node, node[-1]))
+        held = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+
+
+def _top(u: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest s per u, ties by b, in the order of u and rank."""
+    order = np.lexsort((b, -s, u))
+    u = u[order]
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, int)
+    return order[np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u)))) < k]
+
+
+def _merged(k: int):
+    """Of sorted LISTS: the k best of each node; of copies of an edge the largest cosine, and new only if all are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_node(batches):
+            u, b, s, fresh = _edges(rows)
+            if len(u):
+                order = np.lexsort((b, u))
+                u, b, s, fresh = (z[order] for z in (u, b, s, fresh))
+                first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (b[1:] != b[:-1])]))
+                u, b, s, fresh = u[first], b[first], np.maximum.reduceat(s, first), np.logical_and.reduceat(fresh, first)
+                best = _top(u, b, s, k)
+                yield _rows(u[best], b[best], s[best], fresh[best])
+
+    return run
+
+
+def _merge(lists: DataFrame, k: int) -> DataFrame:
+    """LISTS, a row a node: its k best neighbours, ties by id. Lists are shuffled, not edges."""
+    return lists.repartition("u").sortWithinPartitions("u").mapInArrow(_merged(k), LISTS)
+
+
+def _turned(k: int):
+    """LISTS of the nodes that others have as neighbours; k best of each batch, so that a hub's rows stay few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, b, s, fresh = _edges(batch)
+            best = _top(b, u, s, k)
+            yield _rows(b[best], u[best], s[best], fresh[best])
+
+    return run
+
+
+def _near(k: int):
+    """Of sorted LISTS with a mark for a node's own: (u, a, fresh) of nodes with a new edge, with their neighbours and the k best of those that have them as theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_node(batches):
+            parts = []
+            for own in (True, False):
+                u, b, s, fresh = _edges(rows.filter(pc.equal(rows.column(4), own)))
+                best = slice(None) if own else _top(u, b, s, k)
+                parts.append((u[best], b[best], s[best], fresh[best]))
+            u, b, s, fresh = (np.concatenate(z) for z in zip(*parts))
+            order = np.argsort(u, kind="stable")
+            live = np.isin(u[order], u[fresh])
+            out = _rows(*(z[order][live] for z in (u, b, s, fresh)))
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(3)], ["u", "a", "fresh"])
+
+    return run
 
 
 def _local_join(k: int):
@@ -128,8 +213,8 @@ def _local_join(k: int):
         names = np.asarray(right["a"].combine_chunks())
         order = np.argsort(names)
         names, x, kth = names[order], _matrix(right["v"])[order], np.asarray(right["kth"].combine_chunks())[order]
-        u, a, fresh = (np.asarray(left[c].combine_chunks()) for c in ("u", "a", "fresh"))
-        fresh = fresh.astype(bool)
+        (a, offs), (fresh, _) = (_lists(left[c]) for c in ("a", "fresh"))
+        u, fresh = np.repeat(np.asarray(left["u"].combine_chunks()), np.diff(offs)), fresh.astype(bool)
         order = np.argsort(u, kind="stable")
         u, fresh, at = u[order], fresh[order], np.searchsorted(names, a[order])
         edge = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1], [True]]))
@@ -152,7 +237,7 @@ def _local_join(k: int):
         if some:
             got.append(_best(*(np.concatenate(z) for z in zip(*some)), k))
         p, q, s = _best(*(np.concatenate(z) for z in zip(*got)), k) if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))
-        return pa.table({"u": pa.array(names[p], pa.int64()), "b": pa.array(names[q], pa.int64()), "s": pa.array(s, pa.float32())})
+        return pa.Table.from_batches([_rows(names[p], names[q], s, np.ones(len(p), bool))])
 
     return run
 
@@ -179,29 +264,31 @@ def build_graph(vecs: DataFrame, k: int = GRAPH_K, block: int = BLOCK, leaf: int
     """(u, b, s, fresh), settled: up to k neighbours of each node, for settled codes (id, v). Rounds go on, whatever their number, until at most `settle_at` of the edges are new; lists only improve, so they end."""
     head = vecs.select("v").first()
     if head is None:
-        return vecs.sparkSession.createDataFrame([], EDGES + ", fresh boolean")
+        return vecs.sparkSession.createDataFrame([], "u long, b long, s float, fresh boolean")
     n, dim = vecs.count(), len(head[0]) // 2
     blk = _blocks(vecs, n, dim, block)
-    graph = settle(_merge(_seed(vecs, n, dim, k, leaf, trees).withColumn("fresh", F.lit(True)), k))
+    graph = settle(_merge(_seed(vecs, n, dim, k, leaf, trees), k))
     while True:
-        flat = graph.select("u", F.col("b").alias("a"), "s", "fresh")
-        # each node also sees the k best of those that have it as a neighbour
-        back = _first(graph.select(F.col("b").alias("u"), F.col("u").alias("a"), "s", "fresh"), k, "u", F.desc("s"), "a")
-        both = flat.union(back).select("u", "a", "fresh").join(blk, "u")
-        # a block without a fresh edge has nothing to find
-        live = both.where("fresh").select("u").distinct()
-        near = settle(both.join(live, "u", "left_semi").select("blk", "u", "a", "fresh"))
-        kth = graph.groupBy(F.col("u").alias("a")).agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("kth"))
-        need = near.select("blk", "a").distinct().join(vecs.withColumnRenamed("id", "a").join(kth, "a", "left"), "a").select(F.col("blk").alias("blk"), F.col("a").alias("a"), "v", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
-        found = near.groupBy("blk").cogroup(need.groupBy("blk")).applyInArrow(_local_join(k), EDGES)
-        new = settle(_merge(graph.select("u", "b", "s", F.lit(False).alias("fresh")).union(found.withColumn("fresh", F.lit(True))), k))
+        # each node also sees the k best of those that have it as a neighbour; a node without a fresh edge has nothing to find
+        back = graph.mapInArrow(_turned(k), LISTS)
+        both = graph.withColumn("own", F.lit(True)).union(back.withColumn("own", F.lit(False)))
+        live = both.repartition("u").sortWithinPartitions("u").mapInArrow(_near(k), "u long, a array<long>, fresh array<boolean>")
+        near = settle(live.join(blk, "u").select("blk", "u", "a", "fresh"))
+        kth = graph.select(F.col("u").alias("a"), F.when(F.size("b") >= k, F.array_min("s")).otherwise(F.lit(-2.0)).cast("float").alias("kth"))
+        ends = near.select("blk", "a").mapInArrow(_distinct_ends, "blk long, c long").distinct().withColumnRenamed("c", "a")
+        need = ends.join(vecs.withColumnRenamed("id", "a").join(kth, "a", "left"), "a").select(F.col("blk").alias("blk"), F.col("a").alias("a"), "v", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
+        found = near.groupBy("blk").cogroup(need.groupBy("blk")).applyInArrow(_local_join(k), LISTS)
+        old = graph.withColumn("fresh", F.transform("fresh", lambda f: F.lit(False)))
+        new = settle(_merge(old.union(found), k))
         unsettle(graph)
         unsettle(near)
         graph = new
-        change = graph.agg(F.count_if("fresh"), F.count("*")).first()
-        if change[0] <= settle_at * change[1]:
+        change = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("b"))).first()
+        if (change[0] or 0) <= settle_at * (change[1] or 0):
             unsettle(blk)
-            return graph
+            out = settle(graph.select("u", F.explode(F.arrays_zip("b", "s", "fresh")).alias("e")).select("u", "e.b", "e.s", "e.fresh"))
+            unsettle(graph)
+            return out
 
 
 def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,9 +355,11 @@ def _distinct_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             blk = np.asarray(batch.column(0))
             ends, offs = _lists(pa.chunked_array([batch.column(1)]))
             own = np.repeat(blk, np.diff(offs))
-            for b in np.unique(blk):
-                c = np.unique(ends[own == b])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), b, np.int32)), pa.array(c)], ["blk", "c"])
+            order = np.lexsort((ends, own))
+            own, ends = own[order], ends[order]
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (ends[1:] != ends[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(own[fresh]), pa.array(ends[fresh])], ["blk", "c"])
 
 
 STATE = "q long, qv binary, ids array<long>, sims array<float>, done array<boolean>"

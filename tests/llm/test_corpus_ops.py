@@ -234,6 +234,28 @@ def test_every_nth_vector_asks_all(spark):
     assert np.mean([np.mean(s[i, v] >= np.sort(s[i])[-10] - 2e-4) for i, v in got.items()]) > 0.95
 
 
+@pytest.mark.parametrize("size", [1, 7, 500])
+def test_edges_travel_as_lists(size):
+    """A node's edges are one row; merging lists, however batches cut them, keeps the best of each node, and so does looking at them from the other end."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    u, b = np.sort(rng.integers(0, 60, n)), rng.integers(0, 90, n)
+    s, fresh = ((u * 7 + b * 13) % 17 / 17).astype(np.float32), rng.random(n) < 0.5
+    cut = [0, 700, 1500, n]
+    lists = [ann._rows(u[i:j], b[i:j], s[i:j], fresh[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+    rows = pa.Table.from_batches(lists).sort_by("u").combine_chunks().to_batches()[0]
+    assert sum(x.num_rows for x in lists) <= 62
+    got = list(ann._merged(5)(iter([rows.slice(i, size) for i in range(0, rows.num_rows, size)])))
+    told = {}
+    for x, y, z, f in zip(u.tolist(), b.tolist(), s.tolist(), fresh.tolist()):
+        told[x, y] = (z, f and told.get((x, y), (0, True))[1])
+    want = {x: sorted(((-z, y, f) for (w, y), (z, f) in told.items() if w == x))[:5] for x in set(u.tolist())}
+    assert {r["u"]: [(-z, y, f) for y, z, f in zip(r["b"], r["s"], r["fresh"])] for p in got for r in p.to_pylist()} == want
+    back = {r["u"]: r["b"] for p in ann._turned(3)(iter([x for x in got if x.num_rows][:1])) for r in p.to_pylist()}
+    first = [(y, z, x) for x in got[0].column(0).to_pylist() for z, y, _ in want[x]]
+    assert back == {y: [x for w, _, x in sorted(first) if w == y][:3] for y in {w for w, _, _ in first}}
+
+
 def test_blocks_are_bounded(spark):
     """However the vectors lie, no block is much larger than asked for."""
     rng = np.random.default_rng(6)
