@@ -26,3 +26,8 @@ def test_recipe_reads_a_long_page_in_proportion():
         return sum(all(doc.select(css, q) for css, _ in RECIPES["quotes"].fields.values()) for q in doc.select(".quote"))
 
     assert growth(lambda k: box * k, work) < 8
+
+
+def test_products_of_a_long_page_in_proportion():
+    card = '<div class="product-card"><h2>n</h2><a href="/p">more</a><i>only $1.00 now</i></div>'
+    assert growth(lambda k: card * k, lambda doc: len(extract.products(doc)), 600) < 8
