@@ -10,6 +10,7 @@ PAGE = '<!DOCTYPE html><html><head><title>{0}</title></head><body><nav><ul><li><
 TITLES = ("Plain title one", "Cut reference &amp;&amp", "Cut &copy", "No name &ampx; &nosuch; &", "Whole &amp;amp; &quot;two&quot;")
 QUERIES = [
     "auto_extract",
+    "composite_items",
 ]
 
 
