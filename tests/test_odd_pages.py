@@ -11,6 +11,7 @@ TITLES = ("Plain title one", "Cut reference &amp;&amp", "Cut &copy", "No name &a
 QUERIES = [
     "auto_extract",
     "composite_items",
+    "content_rows",
 ]
 
 
