@@ -12,6 +12,7 @@ QUERIES = [
     "auto_extract",
     "composite_items",
     "content_rows",
+    "extract_rules",
 ]
 
 
