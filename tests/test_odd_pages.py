@@ -13,6 +13,7 @@ QUERIES = [
     "composite_items",
     "content_rows",
     "extract_rules",
+    "page_index",
 ]
 
 
