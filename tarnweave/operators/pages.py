@@ -223,16 +223,21 @@ def similar_elements(pages: DataFrame, css: str, most: int = 10) -> DataFrame:
     return page_rows(pages, "rank int, path string, text string, similarity double", lambda u, h, d: [(k, *x) for k, x in enumerate(extract.similar_elements(d, css, most))], ("page_id",))
 
 
-def relocate(old: DataFrame, new: DataFrame, css: str, on: str = "url") -> DataFrame:
-    """(strategy, selector) by which each page's element of the old version is found in the new one; null where it isn't."""
-    both = old.select(on, F.col("html").alias("was")).join(new.select(on, F.col("html").alias("now")), on).select(F.col(on).alias("url"), F.col("now").alias("html"), "was")
+def relocate(old: DataFrame, new: DataFrame, css: str, on: str | Sequence[str] = "url") -> DataFrame:
+    """(strategy, selector) by which each page's element of the old version is found in the new one; null where it isn't.
+
+    `on` names the key of a page, repeated before them (a single one as url). Versions of several pages under one key all meet each other.
+    """
+    keys = ["url"] if isinstance(on, str) else list(on)
+    old, new = (df.withColumn("url", F.col(on)) if isinstance(on, str) else df for df in (old, new))
+    both = old.select(*keys, F.col("html").alias("was")).join(new.select(*keys, "html"), keys).withColumn("_url", F.col(keys[0]).cast("string"))
 
     def one(url: str, raw: str, doc: Document, was: str | None) -> list[tuple]:
         snap = extract.snapshot(parse(was), css)
         got = extract.relocate(doc, snap) if snap else None
         return [got or (None, None)]
 
-    return page_rows(both, "strategy string, selector string", one, ("url",), more=("was",))
+    return page_rows(both, "strategy string, selector string", one, keys, url="_url", more=("was",))
 
 
 # -- classifiers over responses: native expressions

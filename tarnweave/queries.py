@@ -207,7 +207,8 @@ def similar_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT url, 'selector' AS strategy, 'article > h1' AS selector FROM pages WHERE contains(html, '<h1>')")
 def relocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "pages")
-    return pages.relocate(p, p.withColumn("html", F.regexp_replace("html", "<nav>.*?</nav>", "")), "article > h1").where("strategy IS NOT NULL")
+    r = pages.relocate(p, p.withColumn("html", F.regexp_replace("html", "<nav>.*?</nav>", "")), "article > h1", ("page_id", "url"))
+    return r.where("strategy IS NOT NULL").select("url", "strategy", "selector")
 
 
 # -- URLs

@@ -14,6 +14,7 @@ QUERIES = [
     "content_rows",
     "extract_rules",
     "page_index",
+    "relocate",
 ]
 
 
