@@ -15,6 +15,7 @@ QUERIES = [
     "extract_rules",
     "page_index",
     "relocate",
+    "search_index",
 ]
 
 
