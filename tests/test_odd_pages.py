@@ -16,6 +16,7 @@ QUERIES = [
     "page_index",
     "relocate",
     "search_index",
+    "seo_audit",
 ]
 
 
