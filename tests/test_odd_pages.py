@@ -17,6 +17,7 @@ QUERIES = [
     "relocate",
     "search_index",
     "seo_audit",
+    "structured_data",
 ]
 
 
