@@ -117,14 +117,17 @@ def map_overlap(a: Column, b: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """512 B, 1.5 KB, 3.2 MB, ..."""
-    k = 1024.0
-    return (
-        F.when(n < k, F.format_string("%d B", n))
-        .when(n < k**2, F.format_string("%.1f KB", F.bround(n / k, 1)))
-        .when(n < k**3, F.format_string("%.1f MB", F.bround(n / k**2, 1)))
-        .otherwise(F.format_string("%.1f GB", F.bround(n / k**3, 1)))
-    )
+    """512 B, 1.5 KB, 3.2 MB, ... of whole numbers. The value as a double, rounded exactly, halves to even, as printf does."""
+    d = F.least(n.cast("double"), F.lit(2.0**63 - 1024)).cast("bigint")  # the most that a double below 2^63 holds
+
+    def tenths(bits: int, unit: str) -> Column:
+        part = d.bitwiseAND((1 << bits) - 1) * 10
+        low, rest = F.shiftright(part, bits), part.bitwiseAND((1 << bits) - 1)
+        up = ((rest > 1 << bits - 1) | ((rest == 1 << bits - 1) & (low % 2 == 1))).cast("bigint")
+        t = F.shiftright(d, bits) * 10 + low + up
+        return F.concat(F.call_function("div", t, F.lit(10)).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(f" {unit}"))
+
+    return F.when(n < 1 << 10, F.format_string("%d B", n)).when(n < 1 << 20, tenths(10, "KB")).when(n < 1 << 30, tenths(20, "MB")).when(n >= 1 << 30, tenths(30, "GB"))
 
 
 def human_millis(ms: Column) -> Column:

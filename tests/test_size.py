@@ -1,8 +1,11 @@
-"""Work on a page grows with the page, not with its square."""
+"""What shows with size: work on a page grows with the page, not with its square, and large numbers keep their digits."""
 
 import time
 
-from tarnweave.functions import extract
+import duckdb
+from pyspark.sql import functions as F
+
+from tarnweave.functions import extract, text
 from tarnweave.functions.htmldom import parse
 from tarnweave.plans.recipes import RECIPES
 
@@ -31,3 +34,13 @@ def test_recipe_reads_a_long_page_in_proportion():
 def test_products_of_a_long_page_in_proportion():
     card = '<div class="product-card"><h2>n</h2><a href="/p">more</a><i>only $1.00 now</i></div>'
     assert growth(lambda k: card * k, lambda doc: len(extract.products(doc)), 600) < 8
+
+
+def test_sizes_of_large_numbers_round_as_printf_does(spark):
+    n = [0, 1023, 1024, 1126, 1075, 1177, 1280, 1331, 1048575, 1048576, 1 << 30, (1 << 30) + (1 << 28), (1 << 30) + 3 * (1 << 28), (1 << 63) - 1, (1 << 63) - 1500]
+    n += [k**3 for k in range(100_003, 2_000_000, 997)]
+    df = spark.createDataFrame([(v,) for v in n], "n long")
+    got = [r.s for r in df.select("n", text.human_bytes(F.col("n")).alias("s")).orderBy("n").collect()]
+    sql = "SELECT CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END FROM (SELECT unnest(?::BIGINT[]) AS n) ORDER BY n"
+    assert got == [r[0] for r in duckdb.execute(sql, [n]).fetchall()]
+    assert spark.range(1).select(text.human_bytes(F.lit(None).cast("long"))).first()[0] is None
