@@ -39,9 +39,9 @@ def run_recipe(pages: DataFrame, recipe: Recipe, keep: tuple[str, ...] = ("url",
         for box in doc.select(recipe.container):
             item = {}
             for name, (css, take) in recipe.fields.items():
-                got = [v for v in (value_of(n, take) for n in doc.select(css, box)) if v]
-                if got:
-                    item[name] = "|".join(got) if name in recipe.many else got[0]
+                got = (v for v in (value_of(n, take) for n in doc.select(css, box)) if v)
+                if v := "|".join(got) if name in recipe.many else next(got, ""):
+                    item[name] = v
             if item:
                 yield k, item
                 k += 1
